@@ -14,6 +14,7 @@ and the texts' ids and lengths, so any text is read from the blocks it lies in a
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from functools import partial
 from itertools import chain
@@ -31,9 +32,11 @@ from .scratch import materialize, new_path, open_fs, write_atomic
 MAGIC = b"TWPLANE1"
 BLOCK_IDS = 1 << 16
 #: Cached pieces of a worker; beyond, the cache starts anew.
-CACHE_PIECES = 2_500_000
+CACHE_PIECES = 1_000_000
 #: Bytes of text that are cut and looked up at a time.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
+#: Pieces of one call of the library, whose results hold about a KB each.
+CALL_PIECES = 4096
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -54,6 +57,8 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
+        # One thread for each task: more would hold memory arenas of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,9 +76,12 @@ class PieceEncoder:
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text)."""
-        each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), np.uint32, int(count.sum())), count
+        ids, counts = [], []
+        for i in range(0, len(texts), CALL_PIECES):
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + CALL_PIECES], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+            ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         kind = _CLASS[data]
