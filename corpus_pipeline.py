@@ -1,10 +1,72 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The training-data pipeline: stages over ``documents``, each written as Parquet and reread by the next.
+
+Every stage but the last returns the columns of ``documents`` for the rows it keeps.
+Stages take the columns they need by name, so extra columns pass through untouched;
+nulls, empty texts, repeated rows and empty tables are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewalk.llm import bitplanes, byte_cnn, decontaminate, mixing, parity_join
+from tracewalk.llm.scratch import materialize
+
+#: Texts whose best language has less probability than this are of no language.
+LEAST_LANGUAGE_SCORE = 0.3
+#: Share of the tokens that the mix keeps, in expectation.
+MIX_RATE = 0.8
+#: Ids up to which a list is broadcast (8 MB); a longer one is a shuffled join.
+BROADCAST_IDS = 1_000_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that are null, have no letter, or fit no learned language."""
+    model = byte_cnn.fit(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    said = byte_cnn.predict(docs, model)
+    return said.where((F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group linked at 0.8 on five-word shingles; repeated rows of one doc_id are one document."""
+    groups = parity_join.near_duplicates(docs, k=5, percent=80)
+    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents towards tempered shares of source, language and topic."""
+    return mixing.mix(docs, rate=MIX_RATE).where("mix_sampled").select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token files and returns (doc_id, start, n_tokens, ids_crc32), read back from them."""
+    return bitplanes.read_token_files(bitplanes.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_tokens),
+]
+
+#: No SQL expresses the stages; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
