@@ -1 +1 @@
-
+"""Scalar functions on labels, templates and canonical JSON."""

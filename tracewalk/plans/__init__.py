@@ -1 +1 @@
-
+"""The driver's side: packs, question grammar, plans, policy, receipts, claims."""

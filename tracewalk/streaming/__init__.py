@@ -1 +1 @@
-
+"""Idempotent upserts of nodes and edges from streams."""
