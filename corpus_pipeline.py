@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewalk.llm import bitplanes, byte_cnn, decontaminate, mixing, parity_join
-from tracewalk.llm.scratch import materialize
+from tracewalk.llm.scratch import discard, materialize
 
 #: Texts whose best language has less probability than this are of no language.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked at 0.8 on five-word shingles; repeated rows of one doc_id are one document."""
+    """Keeps the smallest doc_id of each group linked at 0.8 on five-word shingles; repeated rows of one doc_id are one document, and a row without id stays."""
     groups = parity_join.near_duplicates(docs, k=5, percent=80)
     gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -71,8 +71,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
             total = total.join(asked, d, "left").select(d, F.coalesce("share", F.lit(0.0)).alias("share"))
         else:
             total = total.select(d, F.pow("own", F.lit(temper)).alias("share"))
-        sums = total.agg(F.sum("share").alias("all_shares"))
-        total = total.crossJoin(F.broadcast(sums)).select(d, (F.col("share") / F.col("all_shares")).alias(f"{d}_share"))  # one row of sums
+        all_shares = total.agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("s")).first().s
+        total = total.select(d, (F.col("share") / F.lit(all_shares or 1.0)).alias(f"{d}_share"))
         cells = cells.join(total, d)
     cells = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
     all_tokens = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t

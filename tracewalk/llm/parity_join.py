@@ -244,11 +244,12 @@ def _shingles(batches, k: int):
     for batch in batches:
         for first, end, found, sizes in _sets(batch, k):
             offsets = np.concatenate([[0], np.cumsum(sizes)])
+            nodes = pa.array(tk.as_signed(digests(found, sizes)))
             step = 500
             for i in range(0, end - first, step):
                 j = min(i + step, end - first)
                 lists = pa.ListArray.from_arrays(pa.array((offsets[i : j + 1] - offsets[i]).astype(np.int32)), pa.array(tk.as_signed(found[offsets[i] : offsets[j]])))
-                yield pa.RecordBatch.from_arrays([batch.column("node")[first + i : first + j], lists], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([nodes[i:j], lists], names=["node", "shingles"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -291,10 +292,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if sets is None:
             # A forest spans every node that has any candidate: later rounds need no other sets.
             ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            wanted = ends.join(nodes.select("node", "doc"), "node").where("doc is not null").select(F.col("doc").alias("doc_id"), "node")
-            few = materialize(wanted, "wanted")
-            small = few.count() <= 500_000  # at most 8 MB to broadcast; beyond, a shuffled join
-            found = docs.join(F.broadcast(few) if small else few, "doc_id").select("node", "text")
+            few = materialize(ends.join(nodes.select("node", "doc"), "node").select(F.col("doc").alias("wanted_id")).distinct(), "wanted")
+            small = few.count() <= 1_000_000  # at most 8 MB to broadcast; beyond, a shuffled join
+            found = docs.join(F.broadcast(few) if small else few, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+            # Nodes are computed anew: rows that share an id, or have none, may differ in text.
             sets = materialize(found.mapInArrow(partial(_shingles, k=k), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
         a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
         met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("as").alias("n1"), F.size("bs").alias("n2"), F.size(F.array_intersect("as", "bs")).alias("both"))
