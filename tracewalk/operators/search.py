@@ -54,7 +54,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, config: HybridConfig = Hyb
     sizes = docs.select(F.size(word_list(F.col("text"))).alias("length")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     held = postings(docs, "doc_id", "text").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).select("term", "mean_length", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals
+    n_docs, mean_length = sizes.select("n_docs").scalar(), sizes.select("mean_length").scalar()
+    idf = df.select("term", mean_length.alias("mean_length"), F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weigh = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("length") / F.col("mean_length")))
     scored = held.join(F.broadcast(idf), "term").select("doc_id", "term", weigh.alias("w"))
     total = scored.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
