@@ -32,10 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group linked at 0.8 on five-word shingles; repeated rows of one doc_id are one document, and a row without id stays."""
     groups = parity_join.near_duplicates(docs, k=5, percent=80)
-    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

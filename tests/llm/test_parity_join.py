@@ -91,5 +91,5 @@ def test_odd_rows(odd_docs, no_docs):
         by.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id))
     assert by[1] == [by[1][0]] * 2 and by[1][0][1] == 1 and by[2][0][1] == 1
     assert by[3] == [(0, 3)] and by[4] == [(0, 4)] and by[8] == [(0, 8)]
-    assert sorted(by[None], key=repr) == sorted([(0, None), (17, 1)], key=repr)
+    assert sorted(by[None], key=repr) == sorted([(0, None), (18, 1)], key=repr)  # 22 words, five at a time
     assert pj.near_duplicates(no_docs).count() == 0

@@ -119,13 +119,13 @@ def mix(docs: DataFrame, rate: float = 0.5, targets: dict[str, dict[str, float]]
     cells = rake(materialize(cells, "totals"), targets, temper, rounds)
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     c = _scale(cells, rate * total.t)
-    probs = materialize(cells.select(*(F.col(d).alias(f"cell_{d}") for d in DIMENSIONS), F.least(F.lit(1.0), F.col("multiplier") * F.lit(c)).alias("cell_prob")), "probabilities")
+    probs = materialize(cells.select(*(F.col(d).alias(f"__cell_{d}") for d in DIMENSIONS), F.least(F.lit(1.0), F.col("multiplier") * F.lit(c)).alias("__cell_prob")), "probabilities")
     if total.n <= 50_000:  # some 5 MB at most; more cells than that are a skewed join that AQE splits
         probs = F.broadcast(probs)
-    out = rows.join(probs, [F.col(f"mix_{d}") == F.col(f"cell_{d}") for d in DIMENSIONS], "left")
-    prob = F.when(F.col("mix_tokens") > 0, F.coalesce("cell_prob", F.lit(0.0))).otherwise(F.lit(0.0))
+    out = rows.join(probs, [F.col(f"mix_{d}") == F.col(f"__cell_{d}") for d in DIMENSIONS], "left")
+    prob = F.when(F.col("mix_tokens") > 0, F.coalesce("__cell_prob", F.lit(0.0))).otherwise(F.lit(0.0))
     out = out.withColumn("mix_prob", prob).withColumn("mix_sampled", uniform(F.col("doc_id"), salt) < F.col("mix_prob"))
-    return out.drop(*(f"cell_{d}" for d in DIMENSIONS), "cell_prob")
+    return out.drop(*(f"__cell_{d}" for d in DIMENSIONS), "__cell_prob")
 
 
 def mix_sql(rate: float = 0.5, temper: float = 0.5, rounds: int = ROUNDS, salt: str = "mix:", steps: int = 12) -> str:

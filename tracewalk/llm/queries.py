@@ -70,7 +70,7 @@ def _op3_sql(z: float = 1.645, least: float = url_reputation.LEAST_RHO, most: fl
     listed = ", ".join(f"('{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}', '{v}')" for v, r in URL_RULES)
 
     def rho(level: str, p: str) -> str:
-        return f"greatest({least}, least({most}, coalesce((SELECT CASE WHEN sum(n * (n - 1) * {p} * (1 - {p})) <> 0 THEN sum((bad - n * {p}) * (bad - n * {p}) - n * {p} * (1 - {p})) / sum(n * (n - 1) * {p} * (1 - {p})) END FROM {level}), {least})))"
+        return f"greatest({least}, least({most}, coalesce((SELECT CASE WHEN sum(n * (n - 1) * {p} * (1 - {p})) <> 0 THEN sum((bad - n * {p}) * (bad - n * {p}) - n * {p} * (1 - {p})) / sum(n * (n - 1) * {p} * (1 - {p})) END FROM {level}), {most})))"
 
     return f"""
 WITH u AS (
@@ -85,16 +85,14 @@ WITH u AS (
          list_extract(string_split(host, '.'), -1) AS suffix,
          CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE list_extract(string_split(host, '.'), -2) || '.' || list_extract(string_split(host, '.'), -1) END AS domain
   FROM g LEFT JOIN l ON g.page_id = l.doc_id GROUP BY 1
-), p AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p0 FROM h),
-s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p0) AS p0 FROM h, p GROUP BY 1),
-ms AS (SELECT 1 / {rho("s", "p0")} - 1 AS m),
-ps AS (SELECT suffix, (bad + m * p0) / (n + m) AS p_suffix FROM s, ms),
-d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(p_suffix) AS p_suffix FROM h JOIN ps USING (suffix) GROUP BY 1, 2),
-md AS (SELECT 1 / {rho("d", "p_suffix")} - 1 AS m),
-pd AS (SELECT domain, (bad + m * p_suffix) / (n + m) AS p_domain FROM d, md),
-hh AS (SELECT h.*, p_domain FROM h JOIN pd USING (domain)),
-mh AS (SELECT 1 / {rho("hh", "p_domain")} - 1 AS m),
-ab AS (SELECT host, bad + m * p_domain AS a, n - bad + m * (1 - p_domain) AS b FROM hh, mh),
+), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, ((SELECT sum(bad) + 1 FROM h) - sum(bad)) / ((SELECT sum(n) + 2 FROM h) - sum(n)) AS p FROM h GROUP BY 1),
+us AS (SELECT suffix, n AS up_n, bad AS up_bad, least(1 / {rho("s", "p")} - 1, (SELECT sum(n) + 2 FROM h) - n) AS up_w, p AS up_p FROM s),
+d AS (SELECT domain, n, bad, (up_bad - bad + up_w * up_p) / (up_n - n + up_w) AS p, up_n - n + up_w AS held
+      FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2) JOIN us USING (suffix)),
+ud AS (SELECT domain, n AS up_n, bad AS up_bad, least(1 / {rho("d", "p")} - 1, held) AS up_w, p AS up_p FROM d),
+hh AS (SELECT host, n, bad, (up_bad - bad + up_w * up_p) / (up_n - n + up_w) AS p, up_n - n + up_w AS held FROM h JOIN ud USING (domain)),
+hw AS (SELECT *, least(1 / {rho("hh", "p")} - 1, held) AS w FROM hh),
+ab AS (SELECT host, bad + w * p AS a, n - bad + w * (1 - p) AS b FROM hw),
 v AS (SELECT host, a / (a + b) AS mean, greatest(a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS lower_bound FROM ab),
 rules(rule_host, rule_path, rule, verdict) AS (VALUES {listed}),
 best AS (

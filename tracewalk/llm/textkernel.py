@@ -160,5 +160,14 @@ def shingle_sets(hashes: np.ndarray, per_text: np.ndarray, k: int) -> tuple[np.n
     return found, np.bincount(text_of, minlength=n_texts)
 
 
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """A copy in which the accented capitals of Latin-1 (two bytes, the first 0xC3) are small; with ``words`` this folds case in Western languages."""
+    out = data.copy()
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] += 0x20
+    return out
+
+
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -1,10 +1,11 @@
 """URL rules, and empirical-Bayes host reputation where no rule fits.
 
 Labelled page outcomes are counted per host. A host's rate of bad pages has a beta
-prior centred on its registered domain's rate, which is shrunk to its suffix's, which
-is shrunk to that of all labelled pages. How strong each prior is follows from the
-overdispersion of the counts at that level (beta-binomial moments). A host is blocked
-when the lower bound of its posterior rate is above the threshold.
+prior centred on the rate of the rest of its registered domain, which is shrunk to that of
+the rest of its suffix, which is shrunk to that of all labelled pages. How strong each
+prior is follows from the overdispersion of the counts at that level (beta-binomial
+moments), and never exceeds the evidence it rests on. A host is blocked when the lower
+bound of its posterior rate is above the threshold.
 
 All work is per host after one aggregation that combines before its shuffle; pages
 meet their host's row in one join, which AQE splits when a host is hot.
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Overdispersion is held to this range, so a prior is worth between 1 and 999 pages.
-LEAST_RHO, MOST_RHO = 0.001, 0.5
+#: Overdispersion is held to this range, so a prior is worth between 2 and 999 pages.
+LEAST_RHO, MOST_RHO = 0.001, 1 / 3
 
 
 def url_host(url: Column) -> Column:
@@ -39,7 +40,7 @@ def _rho(level: DataFrame, p: str) -> float:
         F.sum((F.col("bad") - F.col("n") * F.col(p)) * (F.col("bad") - F.col("n") * F.col(p)) - F.col("n") * F.col(p) * (1 - F.col(p))).alias("over"),
         F.sum(F.col("n") * (F.col("n") - 1) * F.col(p) * (1 - F.col(p))).alias("pairs"),
     ).first()
-    rho = row.over / row.pairs if row.pairs else LEAST_RHO
+    rho = row.over / row.pairs if row.pairs else MOST_RHO
     return min(max(rho, LEAST_RHO), MOST_RHO)
 
 
@@ -59,20 +60,21 @@ def host_reputation(hosts: DataFrame, suffixes: tuple[str, ...] = (), z: float =
         domain = F.when(fits, F.substring_index("host", ".", -dots - 1)).otherwise(domain)
     hosts = materialize(hosts.withColumns({"suffix": suffix, "domain": domain}), "hosts")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    p0 = (total.bad + 1) / (total.n + 2)
-
-    by_suffix = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("p0", F.lit(p0))
-    rho = _rho(by_suffix, "p0")
-    m = 1 / rho - 1
-    by_suffix = by_suffix.select("suffix", ((F.col("bad") + m * F.col("p0")) / (F.col("n") + m)).alias("p_suffix"))
-    by_domain = materialize(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(by_suffix, "suffix"), "domains")
-    rho = _rho(by_domain, "p_suffix")
-    m = 1 / rho - 1
-    by_domain = by_domain.select("domain", ((F.col("bad") + m * F.col("p_suffix")) / (F.col("n") + m)).alias("p_domain"))
-    out = materialize(hosts.join(by_domain, "domain"), "priors")
-    rho = _rho(out, "p_domain")
-    m = 1 / rho - 1
-    out = out.withColumns({"alpha": F.col("bad") + m * F.col("p_domain"), "beta": F.col("n") - F.col("bad") + m * (1 - F.col("p_domain"))})
+    n, bad = F.col("n"), F.col("bad")
+    suffixes_ = materialize(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("p", (F.lit(float(total.bad + 1)) - bad) / (F.lit(float(total.n + 2)) - n)), "suffixes")
+    # A prior is worth what its level's overdispersion says, but no more than the evidence behind it.
+    weight = F.least(F.lit(1 / _rho(suffixes_, "p") - 1), F.lit(float(total.n + 2)) - n)
+    up = suffixes_.select("suffix", n.alias("up_n"), bad.alias("up_bad"), weight.alias("up_w"), F.col("p").alias("up_p"))
+    # What a suffix, domain or host itself has shown is left out of its prior.
+    rest_n, rest_bad = F.col("up_n") - n, F.col("up_bad") - bad
+    prior = ((rest_bad + F.col("up_w") * F.col("up_p")) / (rest_n + F.col("up_w"))).alias("p")
+    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(up, "suffix")
+    domains = materialize(domains.select("domain", "n", "bad", prior, (rest_n + F.col("up_w")).alias("held")), "domains")
+    up = domains.select("domain", n.alias("up_n"), bad.alias("up_bad"), F.least(F.lit(1 / _rho(domains, "p") - 1), F.col("held")).alias("up_w"), F.col("p").alias("up_p"))
+    out = hosts.join(up, "domain").select("host", "n", "bad", prior, (rest_n + F.col("up_w")).alias("held"))
+    out = materialize(out, "priors")
+    w = F.least(F.lit(1 / _rho(out, "p") - 1), F.col("held"))
+    out = out.withColumns({"alpha": bad + w * F.col("p"), "beta": n - bad + w * (1 - F.col("p"))})
     size = F.col("alpha") + F.col("beta")
     out = out.withColumns({"mean": F.col("alpha") / size, "sd": F.sqrt(F.col("alpha") * F.col("beta") / (size * size * (size + 1)))})
     return out.withColumn("lower", F.greatest(F.col("mean") - z * F.col("sd"), F.lit(0.0)))
