@@ -178,3 +178,45 @@ def test_bundled_domains_are_copies():
     assert load_domain("research_network")["entities"]
     with pytest.raises(KeyError):
         load_facts("nothing")
+
+
+def test_providers_and_extractors(spark):
+    from tracewalk.sources import providers
+
+    # Defined here, so that they travel to the workers whole.
+    class Lengths:
+        def embed(self, texts):
+            return [[len(t), 1.0] for t in texts]
+
+        def complete(self, prompt):
+            return prompt.upper()
+
+    class Names:
+        def extract(self, chunk, entities=None):
+            words = sorted({w for w in chunk["text"].split() if w.istitle()})
+            if entities is None:
+                return [{"node_id": w.lower(), "node_type": "NAME", "properties": {"name": w}} for w in words]
+            return [{"src_id": a["node_id"], "dst_id": b["node_id"], "relation": "WITH"} for a, b in zip(entities, entities[1:], strict=False)]
+
+    class CountNames:
+        def can_handle(self, question):
+            return question.startswith("count")
+
+        def build(self, question, graph):
+            return graph.nodes("NAME")
+
+        def summarize(self, rows):
+            return f"{len(rows)} names"
+
+        def is_satisfied(self, rows):
+            return bool(rows)
+
+    chunks = spark.createDataFrame([(1, "Ann met Bob"), (2, "Bob left")], "chunk_id long, text string")
+    got = {r.chunk_id: list(r.vector) for r in providers.embed_column(chunks, Lengths()).collect()}
+    assert got == {1: [11.0, 1.0], 2: [8.0, 1.0]}
+    assert providers.complete_column(chunks, Lengths(), "text").orderBy("chunk_id").first().completion == "ANN MET BOB"
+    g = providers.extract_graph(chunks, Names(), Names())
+    assert {r.name for r in g.nodes("NAME").collect()} == {"Ann", "Bob"}
+    assert [(r.src, r.dst) for r in g.edges("WITH").collect()] == [("ann", "bob")]
+    assert providers.answer_by_intent("count them", g, [CountNames()]) == "2 names"
+    assert providers.answer_by_intent("show them", g, [CountNames()]) is None

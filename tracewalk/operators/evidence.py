@@ -27,7 +27,7 @@ def provenance_column(properties: Column, fallback: Column) -> Column:
         return F.when(raw.startswith("["), F.coalesce(many, F.array())).otherwise(F.array(raw))
 
     found = F.array_compact(F.flatten(F.array(*(refs(k) for k in PROVENANCE_KEYS))))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != "")))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")))
     return F.when(F.size(found) > 0, found).otherwise(F.array(fallback))
 
 
