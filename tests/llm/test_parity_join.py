@@ -79,8 +79,25 @@ def test_linked_sets_share_a_part_and_sketches_bound_the_difference(percent):
             for r, x in zip(rows.tolist(), key.tolist(), strict=True):
                 keys[r].add(x)
         assert keys[0] & keys[1]
-        bits = pj.sketches(np.concatenate([a, b]), sizes)
-        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= sizes.sum() - 2 * both
+        table = pj.SketchTable(pj.sketches(np.concatenate([a, b]), sizes))
+        assert table.distances(np.array([0]), np.array([1]))[0] <= sizes.sum() - 2 * both
+
+
+def test_sketches_of_long_texts_tell_them_apart():
+    rng = np.random.default_rng(9)
+    sizes = np.array([900, 1100, 1500, 2500, 9000, 30_000])
+    sets = [np.unique(tk.mix(rng.integers(0, 1 << 62, n, dtype=np.uint64))) for n in sizes]
+    sets.append(np.union1d(sets[3], sets[4][:100]))
+    sizes = np.array([len(x) for x in sets])
+    raw = pj.sketches(np.concatenate(sets), sizes)
+    assert [len(x) * 8 for x in raw] == [1024, 2048, 2048, 4096, 16384, 32768, 4096]
+    table = pj.SketchTable(raw)
+    i, j = np.triu_indices(len(sets), 1)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    far = table.distances(i, j)
+    assert (far <= apart).all()
+    linkable = np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * 70
+    assert ((far > 0.2 * (sizes[i] + sizes[j])) | (apart <= 100) | ~linkable).all()
 
 
 def test_odd_rows(odd_docs, no_docs):

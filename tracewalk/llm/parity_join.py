@@ -8,9 +8,10 @@ straddle one band boundary; D is the largest difference that a linked pair of th
 band (or straddle) can have, so equal part keys find every link. E leaves room for
 empty parts: only texts with more than E of them emit the empty ones.
 
-Candidates are then held to a 1024-bit parity sketch (each shingle flips one bit),
-whose Hamming distance never exceeds the symmetric difference, and what passes is
-verified on whole shingle sets. Exact copies are one node throughout. A bucket
+Candidates are then held to a parity sketch (each shingle flips one bit), whose Hamming
+distance never exceeds the symmetric difference, and what passes is verified on whole
+shingle sets. Its width is a power of two of at least the set's size and 1024 bits, so
+long texts do not saturate it; a wider one is folded, by XOR of its halves, to meet a narrower. Exact copies are one node throughout. A bucket
 yields a spanning forest of its candidates, verified and contracted first; only
 candidates between components that are still apart are then verified in full, so
 a group of near copies never becomes all its pairs, and no link is lost.
@@ -34,10 +35,11 @@ from .components import connected_components, forest
 from .scratch import discard, materialize
 
 U64 = np.uint64
+#: Bits of the narrowest sketch.
 SKETCH_BITS = 1024
 #: Rows of one bucket that meet in one task; a larger bucket is compared in pairs of blocks.
 BLOCK = 2048
-BATCH_ROWS = 20_000
+BATCH_ROWS = 10_000
 
 
 def bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
@@ -103,12 +105,53 @@ def digests(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(sets, SKETCH_BITS / 8) bytes; each shingle flips one bit."""
-    n = len(sizes)
-    bit = (tk.mix(found + U64(0x2545F4914F6CDD1D)) % U64(SKETCH_BITS)).astype(np.int64)
-    flips = np.bincount(np.repeat(np.arange(n), sizes) * SKETCH_BITS + bit, minlength=n * SKETCH_BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def sketch_bits(sizes: np.ndarray) -> np.ndarray:
+    """Width of each set's sketch: the power of two not below its size, at least SKETCH_BITS."""
+    return np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+
+
+def sketches(found: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The sketch of each set; each shingle flips one bit, whose place modulo a narrower width is its place there."""
+    width = sketch_bits(sizes)
+    ends = np.cumsum(width)
+    bit = (tk.mix(found + U64(0x2545F4914F6CDD1D)) & np.repeat(width - 1, sizes).astype(np.uint64)).astype(np.int64)
+    flips = np.bincount(np.repeat(ends - width, sizes) + bit, minlength=int(width.sum()))
+    raw = np.packbits((flips & 1).astype(np.uint8)).tobytes()
+    return [raw[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
+
+
+class SketchTable:
+    """Sketches of different widths, for distances of many pairs at a time."""
+
+    def __init__(self, raw: list[bytes]):
+        lengths = np.array([len(x) for x in raw], np.int64)
+        self.kinds, self.kind = np.unique(lengths, return_inverse=True)
+        self.place = np.zeros(len(raw), np.int64)
+        self.rows = []
+        for k, n in enumerate(self.kinds):
+            own = np.flatnonzero(self.kind == k)
+            self.place[own] = np.arange(len(own))
+            self.rows.append(np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), -1))
+
+    def _at(self, i: np.ndarray, k: int, bytes_: int) -> np.ndarray:
+        out = self.rows[k][self.place[i]]
+        while out.shape[1] * 8 > bytes_:
+            half = out.shape[1] // 2
+            out = out[:, :half] ^ out[:, half:]
+        return out
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        both = self.kind[i] * len(self.kinds) + self.kind[j]
+        for c in np.unique(both):
+            a, b = divmod(int(c), len(self.kinds))
+            narrow = int(min(self.kinds[a], self.kinds[b]))
+            pick = np.flatnonzero(both == c)
+            step = max(1, (16 << 20) // narrow)
+            for lo in range(0, len(pick), step):
+                p = pick[lo : lo + step]
+                out[p] = np.bitwise_count(self._at(i[p], a, narrow) ^ self._at(j[p], b, narrow)).sum(1, dtype=np.int64)
+        return out
 
 
 def part_keys(found: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,7 +189,7 @@ def _describe(batches, k: int):
         for first, end, found, sizes in _sets(batch, k):
             bits = sketches(found, sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[first:end], pa.array(sizes, pa.int64()), pa.array(tk.as_signed(digests(found, sizes))), pa.array([x.tobytes() for x in bits], pa.binary())],
+                [batch.column("doc_id")[first:end], pa.array(sizes, pa.int64()), pa.array(tk.as_signed(digests(found, sizes))), pa.array(bits, pa.binary())],
                 names=["doc_id", "n_shingles", "node", "sketch"],
             )
 
@@ -189,7 +232,7 @@ def _compare(part: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
         i, j = i[pick], j[pick]
         for k in range(0, len(i), 100_000):
             x, y = i[k : k + 100_000], j[k : k + 100_000]
-            far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            far = bits.distances(x, y)
             room = (100 - percent) * (size[x] + size[y]) // (100 + percent) - far
             ok = room >= 0
             left.append(x[ok])
@@ -209,7 +252,7 @@ def _candidates(batches, percent: int, mode: str):
     def flush(table: pa.Table):
         part = {x: table.column(x).to_numpy() for x in ("bucket", "pair", "n", "root", "block", "node")}
         part["same"] = (part["pair"] >> 32) == (part["pair"] & 0xFFFFFFFF)
-        part["bits"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), -1) if len(table) else np.zeros((0, 16), np.uint64)
+        part["bits"] = SketchTable(table.column("sketch").to_pylist())
         i, j, margin = _compare(part, percent)
         a, b = part["node"][i], part["node"][j]
         a, b = np.minimum(a, b), np.maximum(a, b)
