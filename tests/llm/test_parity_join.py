@@ -110,3 +110,29 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[3] == [(0, 3)] and by[4] == [(0, 4)] and by[8] == [(0, 8)]
     assert sorted(by[None], key=repr) == sorted([(0, None), (18, 1)], key=repr)  # 22 words, five at a time
     assert pj.near_duplicates(no_docs).count() == 0
+
+
+def brute_links(rows, k, percent):
+    sets = {d: shingles(t, k) for d, t in rows}
+    n = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            n[a] += 1
+            n[b] += 1
+    return n
+
+
+def test_all_links_of_three_pairwise_different_copies_are_counted(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:at] + [f"x{i}"] + words[at + 1 :])) for i, at in enumerate((20, 90, 160))] + [(3, "alone in here with nobody"), (4, None)]
+    got = {r.doc_id: r.n_links for r in pj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, count_links=True).collect()}
+    assert got == brute_links(rows, 4, 85) == {0: 2, 1: 2, 2: 2, 3: 0, 4: 0}
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_links_agree_with_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(pj, "LINK_BLOCK", block)
+    rows = corpus(7, 120)
+    got = {r.doc_id: r.n_links for r in pj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, count_links=True).collect()}
+    assert got == brute_links(rows, 4, 85)

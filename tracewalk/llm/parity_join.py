@@ -14,7 +14,11 @@ shingle sets. Its width is a power of two of at least the set's size and 1024 bi
 long texts do not saturate it; a wider one is folded, by XOR of its halves, to meet a narrower. Exact copies are one node throughout. A bucket
 yields a spanning forest of its candidates, verified and contracted first; only
 candidates between components that are still apart are then verified in full, so
-a group of near copies never becomes all its pairs, and no link is lost.
+a group of near copies never becomes all its pairs, and no group is lost.
+
+Every link lies within a component, so links are counted there: each pair of a
+component's nodes meets once, in a pair of blocks, and is decided on whole shingle sets;
+what leaves a task is a count a node, weighted by exact copies, and never the pairs.
 
 Nodes are 64-bit digests of shingle sets (two different sets share one with
 probability of about 2**-64).
@@ -40,6 +44,8 @@ SKETCH_BITS = 1024
 #: Rows of one bucket that meet in one task; a larger bucket is compared in pairs of blocks.
 BLOCK = 2048
 BATCH_ROWS = 10_000
+#: Rows of one component that meet in one task when links are counted; a larger one is counted in pairs of blocks.
+LINK_BLOCK = 1024
 
 
 def bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
@@ -244,12 +250,30 @@ def _compare(part: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
     return np.concatenate(left), np.concatenate(right), np.concatenate(margin)
 
 
-def _candidates(batches, percent: int, mode: str):
-    """Buckets arrive whole and in order; a run of whole buckets is compared at a time."""
+def _whole_buckets(batches, least: int) -> Iterator[pa.Table]:
+    """Buckets arrive whole and in order; runs of whole buckets, of ``least`` rows or more but for the last."""
     held: list[pa.RecordBatch] = []
     rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            table = pa.Table.from_batches(held).combine_chunks()
+            g1, g2 = table.column("bucket").to_numpy(), table.column("pair").to_numpy()
+            whole = np.flatnonzero((g1 != g1[-1]) | (g2 != g2[-1]))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield table.slice(0, cut)
+            rest = table.slice(cut)
+            held, rows = rest.to_batches(), rest.num_rows
+            if cut == 0:
+                rows = 0  # one bucket so far: look again after as many rows more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    def flush(table: pa.Table):
+
+def _candidates(batches, percent: int, mode: str):
+    for table in _whole_buckets(batches, BATCH_ROWS):
         part = {x: table.column(x).to_numpy() for x in ("bucket", "pair", "n", "root", "block", "node")}
         part["same"] = (part["pair"] >> 32) == (part["pair"] & 0xFFFFFFFF)
         part["bits"] = SketchTable(table.column("sketch").to_pylist())
@@ -265,22 +289,68 @@ def _candidates(batches, percent: int, mode: str):
             both = np.unique(np.stack([a, b], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= BATCH_ROWS:
-            table = pa.Table.from_batches(held).combine_chunks()
-            g1, g2 = table.column("bucket").to_numpy(), table.column("pair").to_numpy()
-            whole = np.flatnonzero((g1 != g1[-1]) | (g2 != g2[-1]))
-            cut = int(whole[-1]) + 1 if len(whole) else 0
-            if cut:
-                yield from flush(table.slice(0, cut))
-            rest = table.slice(cut)
-            held, rows = rest.to_batches(), rest.num_rows
-            if cut == 0:
-                rows = 0  # one bucket so far: look again after as many rows more
-    if held:
-        yield from flush(pa.Table.from_batches(held).combine_chunks())
+
+def links_of(found: np.ndarray, sizes: np.ndarray, copies: np.ndarray, first: int, percent: int) -> np.ndarray:
+    """Each set's links, weighted by the other's copies: set i meets every j > i with j >= first, on whole sets.
+
+    A set is held as its difference from what more than half of the sets hold, which is short for near copies.
+    """
+    rows = len(sizes)
+    kinds, ids = np.unique(found, return_inverse=True)
+    own = np.repeat(np.arange(rows), sizes)
+    core = np.bincount(ids, minlength=len(kinds)) * 2 > rows
+    common = core[ids]
+    lacks = np.ones((rows, int(core.sum())), bool)
+    lacks[own[common], (np.cumsum(core) - 1)[ids[common]]] = False
+    lack_row, lack_id = np.nonzero(lacks)
+    row = np.concatenate([own[~common], lack_row])
+    apart = np.concatenate([ids[~common], np.flatnonzero(core)[lack_id]])[np.argsort(row, kind="stable")]
+    n = np.bincount(row, minlength=rows)
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(len(kinds), np.uint8)
+    out = np.zeros(rows, np.int64)
+    for i in range(rows if first == 0 else first):
+        j = max(i + 1, first)
+        mine = apart[cuts[i] : cuts[i + 1]]
+        mark[mine] = 1
+        hits = np.concatenate([[0], np.cumsum(mark[apart[cuts[j] :]], dtype=np.int64)])
+        mark[mine] = 0
+        shared = np.diff(hits[cuts[j:] - cuts[j]])
+        total = sizes[i] + sizes[j:]
+        both = (total - (n[i] + n[j:] - 2 * shared)) // 2
+        linked = both * 100 >= (total - both) * percent
+        out[i] += copies[j:][linked].sum()
+        out[j:][linked] += copies[i]
+    return out
+
+
+def _count_links(batches, percent: int):
+    for table in _whole_buckets(batches, LINK_BLOCK):
+        bucket, pair, block, node, copies = (table.column(x).to_numpy() for x in ("bucket", "pair", "block", "node", "copies"))
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        found = lists.flatten().to_numpy()
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        fresh = np.flatnonzero((bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])) + 1
+        out = np.zeros(len(node), np.int64)
+        for lo, hi in zip([0, *fresh.tolist()], [*fresh.tolist(), len(node)], strict=True):
+            # In a pair of different blocks, which arrive one after the other, pairs within a block are another task's.
+            first = 0 if pair[lo] >> 32 == pair[lo] & 0xFFFFFFFF else int((block[lo:hi] == block[lo]).sum())
+            out[lo:hi] = links_of(found[cuts[lo] : cuts[hi]], sizes[lo:hi], copies[lo:hi], first, percent)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(out)], names=["node", "links"])
+
+
+def _links(roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, links): the rows that each node of a component is linked to, but for its own copies."""
+    blocks = F.ceil(F.col("c") / LINK_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = roots.join(roots.groupBy("root").agg(F.count("*").alias("c")), "root").select("root", "node", blocks.alias("blocks"), own.alias("block"))
+    dealt = dealt.select("root", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.col("root").alias("bucket"), (F.shiftleft(F.least("block", "other").cast("long"), 32) + F.greatest("block", "other")).alias("pair"), "node", F.col("block").cast("long").alias("block"))
+    dealt = dealt.join(nodes.select("node", "copies").join(sets, "node"), "node")
+    dealt = dealt.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "block")
+    return dealt.mapInArrow(partial(_count_links, percent=percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _shingles(batches, k: int):
@@ -295,9 +365,12 @@ def _shingles(batches, k: int):
                 yield pa.RecordBatch.from_arrays([nodes[i:j], lists], names=["node", "shingles"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): texts linked when Jaccard of their distinct k-word shingles >= percent/100, and what links reach.
 
+    With ``count_links`` there is also n_links, the number of other rows that the row is
+    itself linked to, exact copies among them; every pair of a group is decided for it.
+
     Words are runs of bytes other than space and TAB..CR, with A-Z lower-cased.
     Null and empty texts, and texts without words, have no shingles and no links; a
     text of fewer than k words has one shingle. component_id is the smallest doc_id
@@ -307,7 +380,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialize(docs.mapInArrow(partial(_describe, k=k), "doc_id long, n_shingles long, node long, sketch binary"), "sets")
-    nodes = materialize(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = materialize(described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes")
 
     keys = docs.select("text").mapInArrow(partial(_keys, k=k, percent=percent), "key long, node long")
     same = Window.partitionBy("key")
@@ -351,11 +424,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         roots = materialize(connected_components(links), f"roots-{mode}")
     discard(dealt)
     discard(shared)
-    discard(sets)
 
     led = roots.join(nodes.select("node", "doc"), "node")
     lead = led.groupBy("root").agg(F.min("doc").alias("component"))
     lone = nodes.select("node", "doc").join(roots, "node", "left_anti").select("node", F.col("doc").alias("component"))
-    leads = materialize(led.select("node", "root").join(lead, "root").select("node", "component").unionByName(lone), "leads")
+    leads = led.select("node", "root").join(lead, "root").select("node", "component").unionByName(lone)
+    if count_links:
+        counted = materialize(_links(roots, nodes, sets, percent), "counted")
+        leads = leads.join(nodes.select("node", "copies"), "node").join(counted, "node", "left")
+        leads = leads.select("node", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    leads = materialize(leads, "leads")
+    discard(sets)
     out = described.select("doc_id", "n_shingles", "node").join(leads.withColumnRenamed("node", "led_node"), (F.col("node") == F.col("led_node")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")]
+    return out.select(*columns, *([F.coalesce("links", F.lit(0)).alias("n_links")] if count_links else []))

@@ -48,7 +48,7 @@ def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity_join.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return parity_join.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=85, count_links=True)
 
 
 def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
