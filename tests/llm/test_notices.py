@@ -96,3 +96,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.labels == "" and r.n_base == 0 and r.first_word is None for r in rows)
     assert {r.n_words for r in rows if r.doc_id == 5} == {180_000}
     assert nt.scan_licenses(no_docs).count() == 0
+
+
+def test_notices_cut_short_at_a_text_s_ends_do_not_depend_on_the_texts_beside_it():
+    made = tuple(nt.Notice(*x) for x in nt.NOTICES)
+    cut = ["foo all rights reserv", "mozilla public licen", "l rights reserved", "ative commons zero then more", "zilla public license"]
+    beside = ["of things", "ed things", "de y", "se e", "al", "the cre", "mo", "all rights reserved", ""]
+    columns = ("labels", "score", "spans", "n_words")
+
+    def rows(texts):
+        (out,) = nt._scan([_batch(texts)], made, nt.BASE, True)
+        return list(zip(*(out.column(c).to_pylist() for c in columns), strict=True))
+
+    alone = {t: rows([t])[0] for t in cut + beside}
+    assert alone["foo all rights reserv"][0] == "reserved" and alone["mozilla public licen"][0] == "mpl"
+    for t in cut:
+        for x in beside + cut:
+            assert rows([x, t, x]) == [alone[x], alone[t], alone[x]]

@@ -12,6 +12,7 @@ byte of the longest text, work space of one slice of words.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -80,23 +81,35 @@ def normalise(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[b
     return out.tobytes(), places
 
 
-def fuzzy_spans(raw: bytes, notices: tuple[Notice, ...]) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, label, edits, notice length) of verified notices, whole words only, in a normalised run of words."""
+def fuzzy_spans(raw: bytes, notices: tuple[Notice, ...], begins: list[int] | None = None) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, label, edits, notice length) of verified notices, whole words only, in a normalised run of words.
+
+    ``begins`` holds the place of the space before each text of the run. A text is searched on its own: from that
+    space to the one after its last word, which is also the next text's.
+    """
+    begins = begins or [0]
+    ends = [*(x + 1 for x in begins[1:]), len(raw)]
     out = []
     for notice in notices:
-        places: set[int] = set()
+        places: set[tuple[int, int]] = set()
         for piece, at in notice.seeds():
             i = raw.find(piece)
             while i >= 0:
-                places.add(i - at)
+                t = bisect_right(begins, i) - 1
+                if i + len(piece) <= ends[t]:
+                    places.add((t, i - at))
+                if t and i + len(piece) <= ends[t - 1]:  # the space between two texts
+                    places.add((t - 1, i - at))
                 i = raw.find(piece, i + 1)
-        done = -1
-        for p in sorted(places):
+        done, own = -1, -1
+        for t, p in sorted(places):
             e = notice.errors
+            if t != own:
+                done, own = -1, t
             if p < done:
                 continue
-            lo = max(0, p - e - 1)
-            near = raw[lo : p + len(notice.text) + e + 1]
+            lo = max(begins[t], p - e - 1)
+            near = raw[lo : min(ends[t], p + len(notice.text) + e + 1)]
             m = notice.pattern.search(near)
             if m:
                 edits = sum(m.fuzzy_counts)
@@ -105,13 +118,15 @@ def fuzzy_spans(raw: bytes, notices: tuple[Notice, ...]) -> list[tuple[int, int,
     return out
 
 
-def _fuzzy_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, notices: tuple[Notice, ...]):
+def _fuzzy_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text_of: np.ndarray, notices: tuple[Notice, ...]):
     """(first word, last word, label, edits, notice length), a slice of words at a time with an overlap that no notice exceeds."""
     over = max((len(x.text) + x.errors for x in notices), default=0)
     for lo in range(0, len(starts), SLICE_WORDS):
         s, e = starts[lo : lo + SLICE_WORDS + over], ends[lo : lo + SLICE_WORDS + over]
         raw, places = normalise(data, s, e)
-        for i, j, label, edits, length in fuzzy_spans(raw, notices):
+        own = text_of[lo : lo + len(s)]
+        begins = places[np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])] - 1
+        for i, j, label, edits, length in fuzzy_spans(raw, notices, begins.tolist()):
             # A separating space that the bounded match took along belongs to no word.
             w = int(np.searchsorted(places, i + (raw[i : i + 1] == b" "), "right")) - 1
             z = int(np.searchsorted(places, j - 1, "right")) - 1
@@ -160,9 +175,7 @@ def _scan(batches, notices: tuple[Notice, ...], base: tuple[tuple[str, str], ...
                 if span_column:
                     for i, w in zip(who.tolist(), word.tolist(), strict=True):
                         spans[i].append(f"{w}:{w + k}:{label}:0")
-            for w, z, label, edits, length in _fuzzy_words(data, starts, ends, notices):
-                if text_of[w] != text_of[z]:
-                    continue  # a run across two texts is no notice
+            for w, z, label, edits, length in _fuzzy_words(data, starts, ends, text_of, notices):
                 i = int(text_of[w])
                 all_of[i].add(label)
                 best[i] = max(best[i], 1 - edits / length)
