@@ -271,6 +271,44 @@ def typed_facts(spark, d):
     return evidence.typed_facts(evidence.evidence_edges(g, _limited(g), [PLACED, INCLUDES], "CUSTOMER"))
 
 
+def _over_all(name: str) -> str:
+    """The SQL of a query that shows the limit, over every walk."""
+    return SQL[name].replace(LIMITED, PARTS)
+
+
+def _all_edges(g: StarGraph) -> DataFrame:
+    return evidence.evidence_edges(g, _walks(g, "CUSTOMER", PLACED, INCLUDES), [PLACED, INCLUDES], "CUSTOMER")
+
+
+@query(_over_all("evidence_cardinality"))
+def evidence_cardinality_all(spark, d):
+    """Evidence rows of each hop, of all walks."""
+    return evidence.hop_cardinality(_all_edges(commerce(spark, d)))
+
+
+@query(_over_all("composite_roll_up"))
+def composite_roll_up_all(spark, d):
+    g = commerce(spark, d)
+    two = evidence.evidence_edges(g, _walks(g, "CUSTOMER", LOCATED_IN), [LOCATED_IN], "CUSTOMER")
+    return aggregate.roll_up([evidence.hop_cardinality(_all_edges(g)), evidence.hop_cardinality(two)])
+
+
+@query(_over_all("evidence_edges"))
+def evidence_edges_all(spark, d):
+    return _all_edges(commerce(spark, d))
+
+
+@query(_over_all("evidence_nodes_distinct"))
+def evidence_nodes_distinct_all(spark, d):
+    g = commerce(spark, d)
+    return evidence.evidence_nodes(g, _walks(g, "CUSTOMER", PLACED, INCLUDES), [PLACED, INCLUDES], "CUSTOMER")
+
+
+@query(_over_all("typed_facts"))
+def typed_facts_all(spark, d):
+    return evidence.typed_facts(_all_edges(commerce(spark, d)))
+
+
 @query("SELECT DISTINCT o_orderkey AS edge_key, CAST(o_orderkey AS VARCHAR) AS edge_id, o_custkey AS src FROM orders JOIN customer ON c_custkey = o_custkey")
 def result_graph_edges(spark, d):
     """The graph's own edges that are in evidence."""
