@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    """URI of ``spark.checkpoint.dir``; where that is unset, a folder of our own in local mode (tests), and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tracewalk-")
@@ -43,11 +47,26 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs hold: Spark deletes shuffle files and broadcasts when the driver's references are collected, which a large heap may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def open_fs(uri: str):
-    """(pyarrow file system, path) of a URI; works for local, HDFS and object-store folders alike."""
+    """(pyarrow file system, path) of a URI: local folders, HDFS, and the object stores that pyarrow knows, under Hadoop's names for them too."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        uri = "file:///dbfs/" + rest.lstrip("/")
+    elif scheme == "file":
+        uri = "file:///" + rest.lstrip("/")
+    elif "://" not in uri:
+        uri = "file://" + uri
+    return fs.FileSystem.from_uri(uri)
 
 
 def write_atomic(uri: str, data: bytes) -> None:
