@@ -136,3 +136,55 @@ def test_links_agree_with_brute_force(spark, monkeypatch, block):
     rows = corpus(7, 120)
     got = {r.doc_id: r.n_links for r in pj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, count_links=True).collect()}
     assert got == brute_links(rows, 4, 85)
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_groups_larger_than_a_block(spark, monkeypatch, block):
+    monkeypatch.setattr(pj, "LINK_BLOCK", block)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    # A group of near copies of one text, of which some reach the others by way of a chain only, and another group.
+    rows = [(i, " ".join(words[: at] + [f"x{i}"] + words[at + 1 :])) for i, at in enumerate(rng.choices(range(5, 115), k=14))]
+    rows += [(100 + i, " ".join([*words, *(f"y{j}" for j in range(3 * i))])) for i in range(20)]
+    rows += corpus(5, 40)[:0] + [(1000 + d, t) for d, t in corpus(5, 40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in pj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_frequent_keys_dealt_by_node_too(spark, monkeypatch):
+    monkeypatch.setattr(pj, "HOT_SAMPLE", 100)
+    rows = corpus(6, 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(pj._frequent(docs, len(rows), 4, 85, np.zeros(0, np.uint64)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in pj.near_duplicates(docs, 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_buckets_of_any_length_in_batches_of_any_length(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(k), int(k % 3 == 0) * (1 + n % 2), int(n)) for k, n in zip(rng.integers(0, 40, 700) ** 2 // 40, rng.integers(0, 60, 700), strict=True)})
+    wanted = {}
+    for k, s, n in rows:
+        wanted.setdefault(k, set()).add(n)
+    for step, most in ((7, 5), (50, 1 << 20), (1000, 12)):
+        monkeypatch.setattr(pj, "RUN_ROWS", most)
+        k, s, n = (np.array(x) for x in zip(*rows, strict=True))
+        batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + step]), pa.array(s[i : i + step].astype(np.int32)), pa.array(n[i : i + step])], names=["key", "salt", "node"]) for i in range(0, len(rows), step)]
+        got = {}
+        for b in pj._buckets(batches):
+            for bucket, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got.setdefault(bucket, set()).add(node)
+        sets = [x for x in got.values() if len(x) > 1]
+        assert {frozenset(x) for x in sets} == {frozenset(x) for x in wanted.values() if len(x) > 1}
+
+
+def test_sets_that_share_a_digest_are_told_apart():
+    rng = np.random.default_rng(4)
+    found, sizes = np.sort(rng.integers(0, 1 << 62, 30, dtype=np.uint64)), np.array([10, 0, 20])
+    none = np.zeros(0, np.uint64)
+    plain, check = pj.digests(found, sizes)
+    assert (pj.nodes_of(found, sizes, none) == plain).all() and plain[1] == 0 and len({*plain.tolist(), *check.tolist()}) == 5
+    again = pj.nodes_of(found, sizes, np.sort(plain[[0]]))
+    assert again[0] != plain[0] and again[2] == plain[2]
