@@ -76,3 +76,30 @@ def test_a_torn_file_is_refused(tmp_path):
     (tmp_path / "x").write_bytes(b"TWPLANE1" + b"\0" * 40)
     with pytest.raises(ValueError, match="whole"):
         bp.PlaneReader(f"file://{tmp_path}/x")
+
+
+def test_every_ascii_character_is_cut_as_the_library_does():
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, enc, rng = Tokenizer.from_file(PATH), bp.PieceEncoder(PATH), random.Random(1)
+    texts = ["a\x1c's b", "it\x1f's", *("".join(rng.choice("\x00\x0b\x1c\x1d\x1e\x1f\x7f \t\n's'ta1.é\u00a0\u0085") for _ in range(rng.randint(1, 9))) for _ in range(6000))]
+    texts += ["".join(chr(rng.randrange(128)) for _ in range(12)) for _ in range(6000)]
+    raw = [t.encode() for t in texts]
+    ids, n = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_a_partition_is_cut_into_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    setting, own = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(setting, 5)
+    try:
+        made = bp.write_token_files(docs, PATH, file_texts=7)
+    finally:
+        spark.conf.set(setting, own)
+    assert made.count() > 15
+    whole = {tuple(r) for r in bp.read_token_files(bp.write_token_files(docs, PATH)).collect()}
+    assert {tuple(r) for r in bp.read_token_files(made).collect()} == whole

@@ -36,6 +36,46 @@ def test_tables_of_pairs_are_the_convolution():
     assert np.allclose(model.features(x), np.maximum(np.concatenate(want, 1) + model.bias, 0), atol=1e-4)
 
 
+def test_letters_are_of_category_l(spark):
+    import unicodedata
+
+    model = bc.train(np.full((4, bc.WINDOW), 97, np.uint8), np.arange(4) % 2, ["a", "b"], epochs=1)
+    texts = ["² ½ ³", "Ⅷ ⅻ", "1 2 _", "ª", "中", "¹a", "٣", "ǅ"]
+    rows = bc.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    assert {r.text: r.lang_pred == "und" for r in rows} == {t: not any(unicodedata.category(c)[0] == "L" for c in t) for t in texts}
+
+
+def test_a_query_agrees_with_brute_force(spark):
+    """Every text window by window, filter by filter, with the model that the query fits."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = bc.fit(docs, ~held)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op8_byte_cnn"](spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.orderBy(F.length("text")).limit(60).collect():
+        raw = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "").encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0)
+            continue
+        total = np.zeros(len(model.languages))
+        for at in range(0, len(raw), bc.WINDOW):
+            x = np.frombuffer(raw[at : at + bc.WINDOW].ljust(bc.WINDOW, b"\0"), np.uint8)
+            h = np.concatenate([np.max([sum(t[k][x[i + k]] for k in range(len(t))) for i in range(bc.WINDOW - len(t) + 1)], axis=0) for t in model.tables])
+            z = np.maximum(h + model.bias, 0) @ model.out + model.out_bias
+            p = np.exp(z - z.max())
+            letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC0 for b in x.tolist())
+            total += p / p.sum() * (letters + 1e-3)
+        name, score = got[r.doc_id]
+        assert name == model.languages[int(total.argmax())] and abs(score - total.max() / total.sum()) < 1e-3
+
+
+def test_columns_that_clash_keep_their_values(spark, odd_docs):
+    model = bc.fit(odd_docs, F.lit(True), epochs=1)
+    kept = bc.keep_recognised(odd_docs, model)
+    assert kept.columns == odd_docs.columns
+    whole = [tuple(r) for r in odd_docs.collect()]
+    assert kept.count() and all(tuple(r) in whole for r in kept.collect())
+
+
 def test_windows_cover_every_byte():
     import pyarrow as pa
 

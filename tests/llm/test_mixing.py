@@ -59,3 +59,12 @@ def test_odd_rows(odd_docs, no_docs):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_sample_keeps_columns_that_clash(spark):
+    rows = [(i, f"word {i} " * (i % 7 + 1), "en" if i % 3 else None, f"s{i % 4}", str(i), 7.0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, Mix_Prob string, score double")
+    kept = mixing.sample(docs, rate=0.5)
+    assert kept.columns == docs.columns
+    got = {tuple(r) for r in kept.collect()}
+    assert 0 < len(got) < 200 and got <= set(rows)

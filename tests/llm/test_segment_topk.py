@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,20 @@ def test_agrees_with_brute_force(spark, kind):
     assert run(spark, rows) == brute(rows, 5, 5)
 
 
+@pytest.mark.parametrize("size", [1e6, 1e12, 1e300, "mixed"])
+def test_large_components_are_scored_in_whole_numbers(spark, size):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (60, 8)) * (10.0 ** rng.integers(0, 300, (60, 1)) if size == "mixed" else size)
+    x[3] = x[4] = [1.7e308, 1.7e308, 0, 0, 0, 0, 0, 0] if size == 1e300 else x[5]
+    whole = [[int(Fraction(v) * 256 // 1) for v in row] for row in x.tolist()]
+    want = set()
+    for q in range(0, 60, 5):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(60) if i != q)[:5]
+        want |= {(q, r, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(best, 1)}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in st.exact_topk(df, F.col("vec_id") % 5 == 0).collect()} == want
+
+
 def test_many_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(st, "QUERY_BLOCK", 7)
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).normal(size=(90, 8)).astype(np.float32))]

@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import materialize, new_path, open_fs, write_atomic
+from .scratch import materialize, new_path, open_fs, trim, write_atomic
 
 MAGIC = b"TWPLANE1"
 BLOCK_IDS = 1 << 16
+#: A partition starts another file beyond so many compressed bytes or texts, so that a task's memory does not grow with its partition.
+FILE_BYTES, FILE_TEXTS = 64 << 20, 500_000
 #: Cached pieces of a worker; beyond, the cache starts anew.
 CACHE_PIECES = 1_000_000
 #: Bytes of text that are cut and looked up at a time.
@@ -40,11 +42,12 @@ CALL_PIECES = 4096
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-# Classes of bytes: 1 letter, 2 digit, 3 other visible ASCII, 4 apostrophe, 5 blank, 6 other ASCII space, 0 not known.
+# Classes of bytes: 1 letter, 2 digit, 3 other ASCII that is no white space, 4 apostrophe, 5 blank, 6 TAB..CR, 0 not known.
+# U+001C..U+001F are left unknown: they count as white space in some libraries only.
 _CLASS = np.zeros(256, np.uint8)
 for _b in range(128):
     _c = chr(_b)
-    _CLASS[_b] = 5 if _c == " " else 6 if _c.isspace() else 4 if _c == "'" else 1 if _c.isalpha() else 2 if _c.isdigit() else 3
+    _CLASS[_b] = 5 if _c == " " else 6 if 9 <= _b <= 13 else 4 if _c == "'" else 1 if _c.isalpha() else 2 if _c.isdigit() else 0 if 0x1C <= _b <= 0x1F else 3
 
 
 class PieceEncoder:
@@ -234,29 +237,38 @@ class PlaneReader:
             at = stop
 
 
-_MANIFEST = "part int, file string, n_docs long, n_ids long"
+_MANIFEST = "part int, number int, file string, n_docs long, n_ids long"
 
 
-def _write(batches, folder: str, tokenizer: str, end_id: int, planes: str, block_ids: int, level: int):
+def _write(batches, folder: str, tokenizer: str, end_id: int, planes: str, block_ids: int, level: int, file_bytes: int, file_texts: int):
     part = TaskContext.get().partitionId()
-    out, n_docs, n_ids = PlaneWriter(planes, block_ids, level), 0, 0
+    out, number, n_ids = PlaneWriter(planes, block_ids, level), 0, 0
     enc = encoder(tokenizer)
+
+    def finished():
+        uri = f"{folder}/part-{part:08d}-{number:06d}.twp"
+        write_atomic(uri, out.finish())
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "file": [uri], "n_docs": pa.array([len(out.doc_ids)]), "n_ids": pa.array([n_ids])})
+
     for batch in batches:
         names = batch.column("doc_id").to_pylist()
         for first, end, data, offsets in tk.chunks(batch.column("text"), ENCODE_BYTES):
             ids, lengths = enc.encode(data, offsets)
             ends = np.cumsum(lengths)
             out.add(names[first:end], lengths + 1, np.insert(ids, ends, np.uint32(end_id)))
-            n_docs += end - first
             n_ids += len(ids) + end - first
-    if n_docs:
-        uri = f"{folder}/part-{part:08d}.twp"
-        write_atomic(uri, out.finish())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [uri], "n_docs": pa.array([n_docs]), "n_ids": pa.array([n_ids])})
+            if out.size >= file_bytes or len(out.doc_ids) >= file_texts:
+                yield finished()
+                out, number, n_ids = PlaneWriter(planes, block_ids, level), number + 1, 0
+    if out.doc_ids:
+        yield finished()
+    # A tokenizer and its pieces are some 200 MB, which a worker would keep through tasks of other kinds.
+    _ENCODERS.clear()
+    trim()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, planes: str = "byte", block_ids: int = BLOCK_IDS, level: int = 3) -> DataFrame:
-    """Encode ``docs(doc_id, text)`` in ascending doc_id order and write plane files; returns the manifest (part, file, n_docs, n_ids, start).
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, planes: str = "byte", block_ids: int = BLOCK_IDS, level: int = 3, file_bytes: int = FILE_BYTES, file_texts: int = FILE_TEXTS) -> DataFrame:
+    """Encode ``docs(doc_id, text)`` in ascending doc_id order and write plane files; returns the manifest (part, number, file, n_docs, n_ids, start).
 
     Null and empty texts have the end id alone. Rows of one doc_id stand by text; a
     null doc_id comes first and is kept. Other columns are not read. An empty table
@@ -264,10 +276,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     """
     folder = folder or new_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, planes=planes, block_ids=block_ids, level=level), _MANIFEST)
+    # The text's beginning parts ranges of one doc_id; it orders as the text does.
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
+    made = rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, planes=planes, block_ids=block_ids, level=level, file_bytes=file_bytes, file_texts=file_texts), _MANIFEST)
     made = materialize(made, "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

@@ -8,33 +8,36 @@ so a response is a sum of w table rows: no embedding is multiplied, and at infer
 two adjacent bytes share one row of a table of pairs.
 
 A text's probabilities are the mean over all its windows, weighted by their letters.
-The network is trained on the driver from a bounded sample of labelled windows and is
+The network is trained in one task from a bounded sample of labelled windows and is
 a few hundred KB; texts are labelled on the executors, whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import materialize
+from .scratch import discard, materialize
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: The bound of the training sample: texts of each language, and windows of each text.
+#: The bound of the training sample: texts of each language and of all, and windows of each text.
 TEXTS_PER_LANGUAGE = 600
+TEXTS_OF_ALL = 60_000
 WINDOWS_PER_TEXT = 4
-MAX_LANGUAGES = 256
 BATCH_WINDOWS = 192
-LETTER = re.compile(r"[^\W\d_]")
+#: One in so many sampled texts is held back, to see how low the scores of texts of a known language come.
+HELD_BACK = 10
+LETTER = regex.compile(r"\p{L}")
 _LETTER_BYTE = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0xC0 for b in range(256)])
 UNKNOWN = "und"
 
@@ -46,6 +49,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray  # (features, languages)
     out_bias: np.ndarray
+    least: float = 0.0  # texts of a known language score this or more
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows for the first two bytes of every filter, the third of width 3, and the last two of width 4."""
@@ -151,63 +155,101 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     return Model(languages, tables, bias, out, out_bias)
 
 
+def _train(batches, epochs: int):
+    """The pickled model of the sample's windows, which come in order."""
+    table = pa.Table.from_batches(list(batches))
+    held = table.to_pydict() if table.num_rows else {"doc_id": [], "lang": [], "window": []}
+    languages = sorted(set(held["lang"]))
+    if not languages:
+        return
+    at = {x: i for i, x in enumerate(languages)}
+    x = np.frombuffer(b"".join(held["window"]), np.uint8).reshape(-1, WINDOW)
+    y = np.array([at[v] for v in held["lang"]])
+    text = np.unique(np.stack([np.array([d or 0 for d in held["doc_id"]], np.int64), y], 1), axis=0, return_inverse=True)[1].ravel()
+    keep = _LETTER_BYTE[x].any(1)
+    if keep.any():
+        x, y, text = x[keep], y[keep], text[keep]
+    back = tk.mix(text.astype(np.uint64)) % np.uint64(HELD_BACK) == 0
+    if back.all() or len(set(y[~back].tolist())) < len(languages):
+        back[:] = False
+    model = train(x[~back], y[~back], languages, epochs)
+    n = len(languages)
+    if back.any() and n > 1:
+        p = model.probabilities(x[back])
+        weight = _LETTER_BYTE[x[back]].sum(1) + 1e-3
+        _, own = np.unique(text[back], return_inverse=True)
+        mean = np.stack([np.bincount(own, p[:, c] * weight) for c in range(n)], 1) / np.bincount(own, weight)[:, None]
+        right = mean.argmax(1) == y[back][np.unique(own, return_index=True)[1]]
+        if right.any():
+            # Nine tenths of the way from chance to the lowest score seen.
+            model.least = float(1 / n + 0.9 * (mean.max(1)[right].min() - 1 / n))
+    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
 def fit(docs: DataFrame, use: Column, epochs: int = 6) -> Model:
     """Train on ``docs(doc_id, text, lang)`` rows where ``use`` holds and text and lang are not null.
 
-    The sample is bounded: about TEXTS_PER_LANGUAGE texts of each of the MAX_LANGUAGES most
-    frequent languages, picked by a hash of their id at a rate that the language's own count sets, and WINDOWS_PER_TEXT windows of each.
+    The sample is bounded: about TEXTS_PER_LANGUAGE texts of each language (fewer where that were more
+    than TEXTS_OF_ALL together), picked by a hash of their id at a rate that the language's own count sets, and
+    WINDOWS_PER_TEXT windows of each. A language none of whose texts is drawn is not learned.
     Without any labelled text the model has no language, and predicts none.
     """
     rows = docs.where(use & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Model([], [np.zeros((w, 256, FILTERS)) for w in WIDTHS], np.zeros(3 * FILTERS), np.zeros((3 * FILTERS, 0)), np.zeros(0))
-    languages = sorted(r.lang for r in counts)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(TEXTS_PER_LANGUAGE / r.n)).otherwise(share)
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n = counts.count()
+    rate = counts.select("lang", (F.lit(float(min(TEXTS_PER_LANGUAGE, TEXTS_OF_ALL // max(1, n)))) / F.col("n")).alias("rate"))
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(20240229)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    held = materialize(rows.where(drawn < share).mapInArrow(_sample, "doc_id long, lang string, window binary"), "windows").orderBy("doc_id", "lang", "window").collect()
-    if not held:
-        return Model(languages[:1], [np.zeros((w, 256, FILTERS)) for w in WIDTHS], np.zeros(3 * FILTERS), np.zeros((3 * FILTERS, 1)), np.zeros(1))
-    at = {x: i for i, x in enumerate(languages)}
-    x = np.frombuffer(b"".join(r.window for r in held), np.uint8).reshape(-1, WINDOW)
-    y = np.array([at[r.lang] for r in held])
-    keep = _LETTER_BYTE[x].any(1)
-    return train(x[keep], y[keep], languages, epochs) if keep.any() else train(x, y, languages, 1)
+    rows = rows.join(F.broadcast(rate) if n <= 100_000 else rate, "lang").where(drawn < F.col("rate")).select("doc_id", "lang", "text")
+    windows = rows.mapInArrow(_sample, "doc_id long, lang string, window binary")
+    made = windows.repartition(1).sortWithinPartitions("doc_id", "lang", "window").mapInArrow(partial(_train, epochs=epochs), "model binary").collect()
+    discard(counts)
+    if not made:
+        return Model([], [np.zeros((w, 256, FILTERS)) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), np.zeros((len(WIDTHS) * FILTERS, 0)), np.zeros(0))
+    return pickle.loads(made[0].model)
+
+
+def _labels(column: pa.Array, model: Model) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    names, scores = [], []
+    for first, end, data, offsets in tk.chunks(column, 1 << 19):
+        found, n = windows_of(data, offsets)
+        if len(found) and model.languages:
+            p = model.probabilities(found)
+            weight = _LETTER_BYTE[found].sum(1) + 1e-3
+            total = np.concatenate([[[0.0] * p.shape[1]], np.cumsum(p * weight[:, None], 0)])
+            ends = np.cumsum(n)
+            sums = total[ends] - total[ends - n]
+        else:
+            sums = np.zeros((end - first, max(1, len(model.languages))))
+        raw = data.tobytes()
+        for i in range(end - first):
+            own = raw[offsets[i] : offsets[i + 1]]
+            if not model.languages or not own or not LETTER.search(own.decode()):
+                names.append(UNKNOWN)
+                scores.append(0.0)
+            else:
+                k = int(sums[i].argmax())
+                names.append(model.languages[k])
+                scores.append(float(min(1.0, sums[i, k] / sums[i].sum())))
+    return names, scores
 
 
 def _predict(batches, model: Model):
     for batch in batches:
-        names, scores = [], []
-        column = batch.column("text")
-        for first, end, data, offsets in tk.chunks(column, 1 << 19):
-            found, n = windows_of(data, offsets)
-            if len(found) and model.languages:
-                p = model.probabilities(found)
-                weight = _LETTER_BYTE[found].sum(1) + 1e-3
-                total = np.concatenate([[[0.0] * p.shape[1]], np.cumsum(p * weight[:, None], 0)])
-                ends = np.cumsum(n)
-                sums = total[ends] - total[ends - n]
-            else:
-                sums = np.zeros((end - first, max(1, len(model.languages))))
-            raw = data.tobytes()
-            for i in range(end - first):
-                own = raw[offsets[i] : offsets[i + 1]]
-                if not model.languages or not own or not LETTER.search(own.decode()):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    k = int(sums[i].argmax())
-                    names.append(model.languages[k])
-                    scores.append(float(min(1.0, sums[i, k] / sums[i].sum())))
+        names, scores = _labels(batch.column("text"), model)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
 
+def _keep(batches, model: Model, least: float):
+    for batch in batches:
+        names, scores = _labels(batch.column("text"), model)
+        yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores, strict=True)], pa.bool_()))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1).
 
-    Null texts and texts without a letter are ``und`` with score 0; any other is the
+    Null texts and texts without a letter (Unicode's category L) are ``und`` with score 0; any other is the
     learned language with the highest mean probability, ties to the first by name. Only
     the text is looked at; other columns pass through, except that lang_pred and score replace columns of those names. Empty tables stay empty.
     """
@@ -215,3 +257,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     rows = rows.withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double"
     return rows.mapInArrow(partial(_predict, model=model), schema)
+
+
+def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a letter and scores at least as the model's held-back texts of known languages do."""
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(partial(_keep, model=model, least=model.least), rows.schema)

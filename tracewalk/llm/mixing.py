@@ -12,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize, release
 
 DIMENSIONS = ("source", "lang", "topic")
 MISSING = "(none)"
 DIGITS = "0123456789"
 SYMBOLS = "#$%&*+=<>/|@^~{}[]_"
 ROUNDS = 12
+#: What ``mix`` adds.
+COLUMNS = ("mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_prob", "mix_sampled")
+#: Rounds of raking in one plan, after which the cells are written.
+ROUNDS_A_PLAN = 4
 
 
 def token_count(text: Column) -> Column:
@@ -60,7 +64,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
 
     ``targets`` gives shares by dimension and value (in any unit; a value that is not
     named has none and gets no weight); a dimension that it does not name takes its own
-    token shares to the power ``temper``. Each round is written to the shared folder.
+    token shares to the power ``temper``. Every ROUNDS_A_PLAN rounds are written to the shared folder.
     """
     spark = cells.sparkSession
     cells = cells.where("tokens > 0")
@@ -76,12 +80,17 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         cells = cells.join(total, d)
     cells = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
     all_tokens = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            here = F.sum("w").over(Window.partitionBy(d))
-            cells = cells.withColumn("w", F.when(here > 0, F.col("w") * (F.col(f"{d}_share") * F.lit(float(all_tokens))) / here).otherwise(F.lit(0.0)))
+    for done in range(0, rounds, ROUNDS_A_PLAN):
+        before = cells
+        for _ in range(min(ROUNDS_A_PLAN, rounds - done)):
+            for d in DIMENSIONS:
+                here = F.sum("w").over(Window.partitionBy(d))
+                cells = cells.withColumn("w", F.when(here > 0, F.col("w") * (F.col(f"{d}_share") * F.lit(float(all_tokens))) / here).otherwise(F.lit(0.0)))
         cells = materialize(cells, "raked")
-    return cells.withColumn("multiplier", F.col("w") / F.col("tokens"))
+        discard(before)
+    out = cells.withColumn("multiplier", F.col("w") / F.col("tokens"))
+    out._scratch_path = cells._scratch_path
+    return out
 
 
 def _scale(cells: DataFrame, budget: float) -> float:
@@ -113,13 +122,17 @@ def mix(docs: DataFrame, rate: float = 0.5, targets: dict[str, dict[str, float]]
     tokens, probability 0, and are not sampled. Rows with one doc_id and one cell are sampled alike, with a
     null doc_id too. Columns of the input are kept, unless they clash with these names. An empty table stays empty.
     """
-    docs = docs.drop("mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_prob", "mix_sampled")
+    docs = docs.drop(*COLUMNS)
     rows = described(docs, topic)
     cells = rows.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("mix_tokens").alias("tokens"))
-    cells = rake(materialize(cells, "totals"), targets, temper, rounds)
+    totals = materialize(cells, "totals")
+    cells = rake(totals, targets, temper, rounds)
+    discard(totals)
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     c = _scale(cells, rate * total.t)
     probs = materialize(cells.select(*(F.col(d).alias(f"__cell_{d}") for d in DIMENSIONS), F.least(F.lit(1.0), F.col("multiplier") * F.lit(c)).alias("__cell_prob")), "probabilities")
+    discard(cells)
+    release(docs.sparkSession)
     if total.n <= 50_000:  # some 5 MB at most; more cells than that are a skewed join that AQE splits
         probs = F.broadcast(probs)
     out = rows.join(probs, [F.col(f"mix_{d}") == F.col(f"__cell_{d}") for d in DIMENSIONS], "left")
@@ -128,6 +141,13 @@ def mix(docs: DataFrame, rate: float = 0.5, targets: dict[str, dict[str, float]]
     return out.drop(*(f"__cell_{d}" for d in DIMENSIONS), "__cell_prob")
 
 
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, all columns as they are, those with the names of its own among them."""
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in COLUMNS}
+    kept = mix(docs.withColumnsRenamed(own), **options).where("mix_sampled").drop(*COLUMNS)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+
+
 def mix_sql(rate: float = 0.5, temper: float = 0.5, rounds: int = ROUNDS, salt: str = "mix:", steps: int = 12) -> str:
     """The same in DuckDB SQL, with the rounds written out."""
     q = lambda s: s.replace("'", "''")

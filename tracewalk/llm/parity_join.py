@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import connected_components, forest
-from .scratch import discard, materialize, release
+from .scratch import discard, materialize, release, trim
 
 U64 = np.uint64
 #: Bits of the narrowest sketch.
@@ -48,9 +48,11 @@ BLOCK = 2048
 BATCH_ROWS = 10_000
 #: Rows of one component, and shingles of theirs, that meet in one task when links are decided; a larger one is decided in pairs of blocks.
 LINK_BLOCK = 1024
-LINK_SHINGLES = 1 << 21
+LINK_SHINGLES = 1 << 19
 #: Frequent keys are those of so large a share of so many sampled texts. They are only dealt otherwise, so the sample decides nothing.
 HOT_SAMPLE, HOT_SHARE, HOT_KEYS = 4000, 0.02, 20_000
+#: Rows of a batch that goes to Python with whole shingle sets.
+WIDE_ROWS = 500
 #: Rows of one bucket that a task holds at a time.
 RUN_ROWS = 1 << 20
 #: Sets that share a 64-bit digest with another are this few at most, or the corpus is too large for it.
@@ -334,7 +336,7 @@ def _compare(part: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def _whole_buckets(batches, least: int, least_bytes: int = 32 << 20) -> Iterator[pa.Table]:
+def _whole_buckets(batches, least: int, least_bytes: int = 8 << 20) -> Iterator[pa.Table]:
     """Buckets arrive whole and in order; runs of whole buckets, of ``least`` rows or ``least_bytes`` or more but for the last."""
     held: list[pa.RecordBatch] = []
     rows, size = 0, 0
@@ -433,6 +435,7 @@ def _decide(batches, percent: int, count: bool):
             yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]]), pa.nulls(len(at), pa.int64())], names=["a", "b", "links"])
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(links)], names=["a", "b", "links"])
+    trim()
 
 
 def _pair(x, y):
@@ -455,7 +458,7 @@ def _verified(roots: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
 
     def decided(dealt: DataFrame) -> DataFrame:
         dealt = dealt.join(sets, "node").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "block")
-        return materialize(dealt.mapInArrow(partial(_decide, percent=percent, count=count), "a long, b long, links long"), "decided")
+        return materialize(dealt.mapInArrow(partial(_decide, percent=percent, count=count), "a long, b long, links long"), "decided", WIDE_ROWS)
 
     here = (F.col("root").alias("bucket"), "node", F.col("block").cast("long").alias("block"), "copies")
     if count:
@@ -495,7 +498,7 @@ def _described(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, np.ndarra
     """(each row's node, the distinct nodes, the digests that two sets share)."""
     twins = np.zeros(0, np.uint64)
     while True:
-        rows = materialize(docs.mapInArrow(partial(_describe, k=k, twins=twins), "doc_id long, n_shingles long, node long, check long, sketch binary"), "sets")
+        rows = materialize(docs.mapInArrow(partial(_describe, k=k, twins=twins), "doc_id long, n_shingles long, node long, check long, sketch binary"), "sets", 5 * WIDE_ROWS)
         nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), (F.min("check") != F.max("check")).alias("mixed"))
         nodes = materialize(nodes, "nodes")
         mixed = nodes.where("mixed").select("node").limit(MOST_TWINS + 1).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -29,10 +30,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tracewalk/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage, survives lost executors.
+
+    ``arrow_rows`` bounds the rows of a batch that goes to Python meanwhile, where rows are wide.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = conf.get(name)
+    if arrow_rows:
+        conf.set(name, min(arrow_rows, int(own)) if int(own) > 0 else arrow_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, own)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -53,6 +64,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system, for the tasks of other kinds that share the machine."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a URI: local folders, HDFS, and the object stores that pyarrow knows, under Hadoop's names for them too."""
     from pyarrow import fs
