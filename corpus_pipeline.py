@@ -1,7 +1,7 @@
 """The training-data pipeline: stages over ``documents``, each written as Parquet and reread by the next.
 
 Every stage but the last returns the columns of ``documents`` for the rows it keeps.
-Stages take the columns they need by name, so extra columns pass through untouched;
+Stages take the columns they need by name; extra columns pass through untouched, whatever their names;
 nulls, empty texts, repeated rows and empty tables are handled as the operators' docstrings say.
 """
 
@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewalk.llm import bitplanes, byte_cnn, decontaminate, mixing, parity_join
-from tracewalk.llm.scratch import discard, materialize
+from tracewalk.llm.scratch import discard, materialize, release
 
-#: Texts whose best language has less probability than this are of no language.
-LEAST_LANGUAGE_SCORE = 0.3
 #: Share of the tokens that the mix keeps, in expectation.
 MIX_RATE = 0.8
 #: Ids up to which a list is broadcast (8 MB); a longer one is a shuffled join.
@@ -23,10 +21,9 @@ BROADCAST_IDS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or fit no learned language."""
+    """Rejects texts that are null, have no letter, or score lower than held-back texts of the learned languages."""
     model = byte_cnn.fit(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
-    said = byte_cnn.predict(docs, model)
-    return said.where((F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return byte_cnn.keep_recognised(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents towards tempered shares of source, language and topic."""
-    return mixing.mix(docs, rate=MIX_RATE).where("mix_sampled").select(*docs.columns)
+    return mixing.sample(docs, rate=MIX_RATE)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,4 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before, docs = docs, materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
         discard(before)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
