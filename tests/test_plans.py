@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tracewalk.functions.text import canonical_json, fingerprint, label_key, relation_words, template_regex, type_words
+from tracewalk.functions.text import Template, Words, canonical_json, fingerprint, label_key, relation_phrases, type_phrases
 from tracewalk.operators.match import Pattern, PatternEdge, PatternNode, pattern_of_walk
 from tracewalk.plans.governance import AdmissionError, AmbiguousPlanner, ExtensionRegistry, Planner, PlannerRegistry, Selection, StaticAssurance, UnsupportedPlanner, admit
 from tracewalk.plans.grammar import Candidate, Compiler, FixedResolver
@@ -37,6 +37,9 @@ def compiler(**changes):
         ("Does nobody contributed to Atlas?", "BOOLEAN_CHECK", "IN", "ok"),
         ("latest project Alice contributed to", "AGGREGATE", "OUT", "ok"),
         ("top 3 projects Alice contributed to", "AGGREGATE", "OUT", "ok"),
+        ("most recent project Alice contributed to", "AGGREGATE", "OUT", "ok"),
+        ("How many projects does Alice contributed to", "AGGREGATE", "OUT", "ok"),
+        ("How many", None, None, "unsupported_intent"),
         ("Which labs is Alice member of and Show Bob", "COMPOSITE", None, "ok"),
         ("Show Twin", None, None, "entity_ambiguous"),
         ("Show Zed", None, None, "entity_not_found"),
@@ -224,7 +227,15 @@ def test_canonical_json_is_ascii_and_order_free(d):
 
 
 def test_word_rules():
-    assert relation_words("CONTAINS", ("Holds",)) == ("contains", "contain", "holds")
-    assert type_words("FACILITY", ("facilities",)) == ("facility", "facilitys", "facilities")
+    assert relation_phrases("CONTAINS", ("Holds up",)) == [("contains",), ("contain",), ("holds", "up")]
+    assert relation_phrases("S") == [("s",)] and relation_phrases("PASS") == [("pass",)] and relation_phrases("") == []
+    assert type_phrases("FACILITY", ("facilities",)) == [("facility",), ("facilitys",), ("facilities",)]
+    assert type_phrases("SALES_ORDERS") == [("sales", "orders"), ("sales", "order")]
     assert label_key("  Straße-12 ") == "strasse12"
-    assert template_regex("Does <X> run").search("does the dog run")["X"] == "the dog"
+    assert Template("Does <X> run?").match("does the dog run ?") == {"X": "the dog"}
+    assert Template("<a>'s <b> of <c>").match("Ann's hat of felt of wool") == {"A": "Ann", "B": "hat", "C": "felt of wool"}
+    assert Template("Does <X> run").match("does run") is None and Template("Does <X> run").match("does the dog run off") is None
+    assert Template("<x> ab").match("ab ab ab") == {"X": "ab ab"} and Template("a <1> b").match("so a <1> b") == {}
+    assert Template(r"how (?P<what>\w+)").match("Say how far?") == {"WHAT": "far"}
+    w = Words("Which labs, pray, is  Alice member of?")
+    assert w.find(("member", "of")) == 5 and w.quote(2, 5) == "pray, is  Alice" and w.without(1, 3).text == "Which is  Alice member of"
