@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import discard, materialize
+from .scratch import discard, materialize, trim
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -238,12 +238,14 @@ def _predict(batches, model: Model):
     for batch in batches:
         names, scores = _labels(batch.column("text"), model)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+    trim()
 
 
 def _keep(batches, model: Model, least: float):
     for batch in batches:
         names, scores = _labels(batch.column("text"), model)
         yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores, strict=True)], pa.bool_()))
+    trim()
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -53,6 +53,8 @@ LINK_SHINGLES = 1 << 19
 HOT_SAMPLE, HOT_SHARE, HOT_KEYS = 4000, 0.02, 20_000
 #: Rows of a batch that goes to Python with whole shingle sets.
 WIDE_ROWS = 500
+#: Rows of a batch of keys.
+NARROW_ROWS = 50_000
 #: Rows of one bucket that a task holds at a time.
 RUN_ROWS = 1 << 20
 #: Sets that share a 64-bit digest with another are this few at most, or the corpus is too large for it.
@@ -218,6 +220,7 @@ def _describe(batches, k: int, twins: np.ndarray):
             bits = sketches(found, sizes)
             columns = [pa.array(sizes, pa.int64()), pa.array(tk.as_signed(nodes_of(found, sizes, twins))), pa.array(tk.as_signed(digests(found, sizes)[1])), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], *columns], names=["doc_id", "n_shingles", "node", "check", "sketch"])
+    trim()
 
 
 def _keys(batches, k: int, percent: int, twins: np.ndarray, hot: np.ndarray, salts: int):
@@ -239,6 +242,7 @@ def _keys(batches, k: int, percent: int, twins: np.ndarray, hot: np.ndarray, sal
                     salt[often] = 1 + (tk.mix(own[often]) % U64(salts)).astype(np.int32)
                 for i in range(0, len(rows), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(tk.as_signed(key[i : i + 200_000])), pa.array(salt[i : i + 200_000]), pa.array(tk.as_signed(own[i : i + 200_000]))], names=["key", "salt", "node"])
+    trim()
 
 
 def _buckets(batches):
@@ -543,7 +547,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, count_links:
 
     keys = docs.select("text").mapInArrow(partial(_keys, k=k, percent=percent, twins=twins, hot=hot, salts=salts), "key long, salt int, node long")
     met = keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_buckets, "bucket long, node long")
-    buckets = materialize(met.distinct(), "buckets")
+    buckets = materialize(met.distinct(), "buckets", NARROW_ROWS)
     release(spark)
 
     sketched = nodes.select("node", "n", "sketch")

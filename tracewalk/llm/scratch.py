@@ -33,13 +33,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage, survives lost executors.
 
-    ``arrow_rows`` bounds the rows of a batch that goes to Python meanwhile, where rows are wide.
+    ``arrow_rows`` are the rows of a batch that goes to Python meanwhile: few where rows are wide, many where they are narrow.
     """
     path = new_path(df.sparkSession, label)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     own = conf.get(name)
     if arrow_rows:
-        conf.set(name, min(arrow_rows, int(own)) if int(own) > 0 else arrow_rows)
+        conf.set(name, arrow_rows)
     try:
         df.write.parquet(path)
     finally:
@@ -58,6 +58,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on batches of rows that go to Python are this small: whole texts in them are held several times over, here and there."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of what finished jobs hold: Spark deletes shuffle files and broadcasts when the driver's references are collected, which a large heap may put off for long."""
     gc.collect()
@@ -66,7 +71,10 @@ def release(spark: SparkSession) -> None:
 
 def trim() -> None:
     """Give a worker's freed memory back to the system, for the tasks of other kinds that share the machine."""
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
