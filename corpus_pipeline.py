@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewalk.llm import bitplanes, byte_cnn, decontaminate, mixing, parity_join
-from tracewalk.llm.scratch import discard, materialize, release
+from tracewalk.llm.scratch import discard, materialize, release, small_batches
 
 #: Share of the tokens that the mix keeps, in expectation.
 MIX_RATE = 0.8
@@ -22,12 +22,14 @@ BROADCAST_IDS = 1_000_000
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null, have no letter, or score lower than held-back texts of the learned languages."""
+    small_batches(spark)
     model = byte_cnn.fit(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     return byte_cnn.keep_recognised(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group linked at 0.8 on five-word shingles; repeated rows of one doc_id are one document, and a row without id stays."""
+    small_batches(spark)
     groups = parity_join.near_duplicates(docs, k=5, percent=80)
     gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
@@ -37,16 +39,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents towards tempered shares of source, language and topic."""
+    small_batches(spark)
     return mixing.sample(docs, rate=MIX_RATE)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token files and returns (doc_id, start, n_tokens, ids_crc32), read back from them."""
+    small_batches(spark)
     return bitplanes.read_token_files(bitplanes.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
