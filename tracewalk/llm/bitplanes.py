@@ -36,7 +36,7 @@ FILE_BYTES, FILE_TEXTS = 64 << 20, 500_000
 #: Cached pieces of a worker; beyond, the cache starts anew.
 CACHE_PIECES = 1_000_000
 #: Bytes of text that are cut and looked up at a time.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 19
 #: Pieces of one call of the library, whose results hold about a KB each.
 CALL_PIECES = 4096
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -496,6 +496,7 @@ def _shingles(batches, k: int, twins: np.ndarray):
                 j = min(i + step, end - first)
                 lists = pa.ListArray.from_arrays(pa.array((offsets[i : j + 1] - offsets[i]).astype(np.int32)), pa.array(tk.as_signed(found[offsets[i] : offsets[j]])))
                 yield pa.RecordBatch.from_arrays([nodes[i:j], lists], names=["node", "shingles"])
+    trim()
 
 
 def _described(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
