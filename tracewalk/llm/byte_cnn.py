@@ -49,7 +49,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray  # (features, languages)
     out_bias: np.ndarray
-    least: float = 0.0  # texts of a known language score this or more
+    least: float = 0.0  # texts that score less are of no known language
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows for the first two bytes of every filter, the third of width 3, and the last two of width 4."""
@@ -181,8 +181,8 @@ def _train(batches, epochs: int):
         mean = np.stack([np.bincount(own, p[:, c] * weight) for c in range(n)], 1) / np.bincount(own, weight)[:, None]
         right = mean.argmax(1) == y[back][np.unique(own, return_index=True)[1]]
         if right.any():
-            # Nine tenths of the way from chance to the lowest score seen.
-            model.least = float(1 / n + 0.9 * (mean.max(1)[right].min() - 1 / n))
+            # A third of the way from chance to the lowest score seen: clean texts in two languages stay.
+            model.least = float(1 / n + (mean.max(1)[right].min() - 1 / n) / 3)
     yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
@@ -262,6 +262,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a letter and scores at least as the model's held-back texts of known languages do."""
+    """The rows of ``docs``, all columns as they are, whose text has a letter and scores no nearer to chance than the model's ``least``, which its held-back texts set."""
     rows = docs.withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(partial(_keep, model=model, least=model.least), rows.schema)
