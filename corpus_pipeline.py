@@ -21,7 +21,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or score lower than held-back texts of the learned languages."""
+    """Rejects texts that are null, have no letter, or score far lower than held-back texts of the learned languages."""
     small_batches(spark)
     model = byte_cnn.fit(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     return byte_cnn.keep_recognised(docs, model)
