@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -64,9 +65,34 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of what finished jobs hold: Spark deletes shuffle files and broadcasts when the driver's references are collected, which a large heap may put off for long."""
+    """Let go of what finished jobs hold: Spark deletes shuffle files and broadcasts when the driver's references are collected, which a large heap may put off for long.
+
+    The driver's JVM also gives back native memory that it has freed, most of it from compiling the code of many plans.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    try:
+        _trim_driver(spark)
+    except Py4JError:  # a JVM or C library without it
+        pass
+
+
+def _trim_driver(spark: SparkSession) -> None:
+    """The diagnostic command ``System.trim_native_heap``, called by the interface's method since the server's class is hidden."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, values):
+        out = new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    named = jvm.Class.forName
+    types = [named(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.Class, types))
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    invoke.invoke(server, array(jvm.Object, [command, "systemTrimNativeHeap", new_array(jvm.Object, 0), new_array(jvm.String, 0)]))
 
 
 def trim() -> None:
