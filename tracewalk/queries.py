@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewalk.functions.text import label_key, label_key_column
 from tracewalk.operators import aggregate, claims, evidence, existence, search, traverse
 from tracewalk.operators.match import Pattern, PatternEdge, PatternNode, match_pattern, proofs
+from tracewalk.plans.answers import MOST_LINES
 from tracewalk.plans.governance import StaticAssurance
 from tracewalk.plans.ir import Step
 from tracewalk.runtime import build, standard_runtime
@@ -497,6 +498,35 @@ def rendered_answer(spark, d):
     return spark.createDataFrame(rows, "question string, status string, answer string, plan_digest string, receipt_digest string")
 
 
+FORMS = {
+    "relation out": QUESTION,
+    "relation in": "Which customers located in NATION_3?",
+    "count": "How many orders does Customer#000000005 place?",
+    "lookup": "Show Customer#000000005",
+    "existence": "Does Customer#000000005 exist?",
+    "top": "top 3 orders Customer#000000005 placed",
+    "latest": "most recent order Customer#000000005 placed",
+}
+_FIFTH = "SELECT 'order-' || o_orderkey AS id, o_orderdate AS placed FROM orders WHERE o_custkey = 5"
+
+
+@query(f"""WITH f AS (
+  SELECT 'relation out' AS form, 'order-' || n1 || ' —INCLUDES→ ' || p_name AS line FROM ({PARTS}) JOIN part ON p_partkey = n2 WHERE n0 = 5
+  UNION ALL SELECT 'relation in', c_name || ' —LOCATED_IN→ ' || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_3'
+  UNION ALL SELECT 'lookup', c_name || ' —IS_A→ CUSTOMER' FROM customer WHERE c_name = 'Customer#000000005')
+SELECT form, 'COMPLETE' AS status, 'Facts:' || string_agg(chr(10) || '- ' || line, '' ORDER BY line) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY line) AS i FROM (SELECT DISTINCT form, line FROM f)) WHERE i <= {MOST_LINES} GROUP BY form
+UNION ALL SELECT 'count', 'COMPLETE', 'COUNT: ' || count(*) FROM ({_FIFTH})
+UNION ALL SELECT 'existence', 'COMPLETE', 'Yes.' FROM customer WHERE c_name = 'Customer#000000005'
+UNION ALL SELECT 'top', 'COMPLETE', 'TOP_N: [' || string_agg(chr(39) || id || chr(39), ', ' ORDER BY placed DESC, id) || ']' FROM (SELECT * FROM ({_FIFTH}) ORDER BY placed DESC, id LIMIT 3)
+UNION ALL SELECT 'latest', 'COMPLETE', 'LATEST: ' || id FROM (SELECT * FROM ({_FIFTH}) ORDER BY placed DESC, id LIMIT 1)""")
+def question_forms(spark, d):
+    """A question of each form through the whole runtime, from words to the rendered answer."""
+    runtime = standard_runtime(COMMERCE, commerce(spark, d), StaticAssurance())
+    asked = [(form, runtime.ask(q)) for form, q in FORMS.items()]
+    rows = [(form, a.status, a.response["answer"]) for form, a in asked]
+    return spark.createDataFrame(rows, "form string, status string, answer string")
+
+
 @query()
 def receipt_lineage(spark, d):
     """Lineage rows of the bundled domains' questions."""
