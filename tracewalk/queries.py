@@ -511,10 +511,11 @@ _FIFTH = "SELECT 'order-' || o_orderkey AS id, o_orderdate AS placed FROM orders
 
 
 @query(f"""WITH f AS (
-  SELECT 'relation out' AS form, 'order-' || n1 || ' —INCLUDES→ ' || p_name AS line FROM ({PARTS}) JOIN part ON p_partkey = n2 WHERE n0 = 5
-  UNION ALL SELECT 'relation in', c_name || ' —LOCATED_IN→ ' || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_3'
-  UNION ALL SELECT 'lookup', c_name || ' —IS_A→ CUSTOMER' FROM customer WHERE c_name = 'Customer#000000005')
-SELECT form, 'COMPLETE' AS status, 'Facts:' || string_agg(chr(10) || '- ' || line, '' ORDER BY line) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY line) AS i FROM (SELECT DISTINCT form, line FROM f)) WHERE i <= {MOST_LINES} GROUP BY form
+  SELECT 'relation out' AS form, 'INCLUDES' AS relation, 'order-' || n1 || ' —INCLUDES→ ' || p_name AS line FROM ({PARTS}) JOIN part ON p_partkey = n2 WHERE n0 = 5
+  UNION ALL SELECT 'relation out', 'PLACED', c_name || ' —PLACED→ order-' || n1 FROM ({PARTS}) JOIN customer ON c_custkey = n0 WHERE n0 = 5
+  UNION ALL SELECT 'relation in', 'LOCATED_IN', c_name || ' —LOCATED_IN→ ' || n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_3'
+  UNION ALL SELECT 'lookup', 'IS_A', c_name || ' —IS_A→ CUSTOMER' FROM customer WHERE c_name = 'Customer#000000005')
+SELECT form, 'COMPLETE' AS status, 'Facts:' || string_agg(chr(10) || '- ' || line, '' ORDER BY i) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY relation, line) AS i FROM (SELECT DISTINCT * FROM f)) WHERE i <= {MOST_LINES} GROUP BY form
 UNION ALL SELECT 'count', 'COMPLETE', 'COUNT: ' || count(*) FROM ({_FIFTH})
 UNION ALL SELECT 'existence', 'COMPLETE', 'Yes.' FROM customer WHERE c_name = 'Customer#000000005'
 UNION ALL SELECT 'top', 'COMPLETE', 'TOP_N: [' || string_agg(chr(39) || id || chr(39), ', ' ORDER BY placed DESC, id) || ']' FROM (SELECT * FROM ({_FIFTH}) ORDER BY placed DESC, id LIMIT 3)
