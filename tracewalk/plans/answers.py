@@ -53,7 +53,7 @@ class ClaimBundle:
 
 
 def claims_of(plan: BoundPlan, evidence: Evidence, truth: str, allowed: bool = True) -> ClaimBundle:
-    """What the evidence of a plan claims; a plan whose evidence did not pass claims nothing but that."""
+    """What the evidence of a plan claims, cut in the order of claims; a plan whose evidence did not pass claims nothing but that."""
     tags = (f"domain:{plan.domain_id}",)
     out = ClaimBundle([], plan.projection.kind, plan.domain_id, plan.plan_type == PlanType.BOOLEAN_CHECK, plan.plan_type == PlanType.EXISTS, plan.world.closed, truth)
     anchor = plan.anchors[0].node_id if plan.anchors else "RESULT"
@@ -75,8 +75,12 @@ def claims_of(plan: BoundPlan, evidence: Evidence, truth: str, allowed: bool = T
         n = evidence.nodes[0]
         out.claims = [Claim(names[n["node_id"]], "EXISTS", symbol(n["node_type"]), provenance=(n["node_id"],), scope_tags=tags)]
     elif evidence.edges:
-        seen = {e["edge_id"]: e for e in evidence.edges}
-        out.claims = [Claim(names.get(e["source_id"], e["source_id"]), symbol(e["relation"]), names.get(e["target_id"], e["target_id"]), provenance=(e["edge_id"],), scope_tags=tags) for e in list(seen.values())[:MOST_EDGE_CLAIMS]]
+        own = [(symbol(e["relation"]), names.get(e["source_id"], e["source_id"]), names.get(e["target_id"], e["target_id"]), e["edge_id"]) for e in evidence.edges]
+        own += [(symbol(c["relation"]), c["subject"], c["object"], c["edge_id"]) for c in evidence.claimed]
+        once: dict[tuple, str] = {}
+        for *said, edge_id in own:
+            once[tuple(said)] = min(edge_id, once.get(tuple(said), edge_id))
+        out.claims = [Claim(s, p, o, provenance=(once[p, s, o],), scope_tags=tags) for p, s, o in sorted(once)[:MOST_EDGE_CLAIMS]]
     elif evidence.nodes and not out.boolean:
         out.claims = [Claim(names[n["node_id"]], "IS_A", symbol(n["node_type"]), provenance=(n["node_id"],), scope_tags=tags) for n in evidence.nodes[:MOST_NODE_CLAIMS]]
     if not out.claims:

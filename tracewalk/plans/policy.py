@@ -40,6 +40,7 @@ class Evidence:
     per_hop: dict[int, int] = field(default_factory=dict)
     fan_out: dict[int, int] = field(default_factory=dict)
     aggregation: dict[str, Any] | None = None
+    claimed: list[dict] = field(default_factory=list)  # the first claims of all walks, where the limit left walks out: subject, relation, object, edge_id
     children: dict[str, Evidence] = field(default_factory=dict)
 
 

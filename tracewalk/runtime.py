@@ -1,7 +1,8 @@
 """Asking: select, compile, admit, assure, check, run, check again, answer.
 
 Only two places run Spark jobs: the entity lookup while a question is compiled, and
-``Executor.run``, which probes each hop's cap and collects at most max_results rows.
+``Executor.run``, which probes each hop's cap and collects at most max_results rows and,
+where those are not all walks, the first claims of all of them.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from tracewalk.functions.text import fingerprint, symbol
 from tracewalk.operators.aggregate import top_by_date
 from tracewalk.operators.match import Pattern, pattern_of_walk
 from tracewalk.operators.traverse import WalkError, anchor, checked_walk, limit_walks, result_rows, walk
-from tracewalk.plans.answers import ClaimBundle, claims_of, render
+from tracewalk.plans.answers import MOST_EDGE_CLAIMS, ClaimBundle, claims_of, render
 from tracewalk.plans.governance import Admission, AssuranceError, Planner, PlannerRegistry, Router, Selection, admit, resolve_assurance
 from tracewalk.plans.grammar import Candidate, CompileResult, Compiler
-from tracewalk.plans.ir import BoundPlan, PlanType, bind
+from tracewalk.plans.ir import WILDCARDS, BoundPlan, PlanType, bind
 from tracewalk.plans.pack import DomainPack
 from tracewalk.plans.policy import Context, Decision, Evidence, Witness, after, before
 from tracewalk.plans.receipts import Receipt
@@ -169,6 +170,8 @@ class Executor:
         held = sorted((r.asDict() for r in shown.collect()), key=lambda r: tuple(r[c] for c in order))
         ev.n_results = len(held)
         self._evidence(plan, held, ev)
+        if steps and not agg and plan.plan_type not in (PlanType.BOOLEAN_CHECK, PlanType.EXISTS) and len(held) >= most:
+            ev.claimed = self._first_claims(plan, paths)
         rows = [{"node_id": r["node_id"], "node_type": r["node_type"], "name": r["name"], "path_nodes": r["path_nodes"], "path_edges": r["path_edges"], "relation": r["relation"], "properties": json.loads(r["properties"] or "{}")} for r in held]
         if plan.projection.fields:
             rows = [{k: r[k] for k in plan.projection.fields if k in r} for r in rows]
@@ -176,6 +179,19 @@ class Executor:
             ev.witnesses.append(Witness(plan.world.scope, f"snapshot:{plan.world.scope}", True, plan.digest))
         return _sealed(plan, rows, ev, {})
 
+    def _first_claims(self, plan: BoundPlan, paths: DataFrame) -> list[dict[str, Any]]:
+        """The first claims of each hop over all walks, by the names of the ends and once each: the limit's first walks are others."""
+        graph, out = self.graph, []
+        kinds = [symbol(plan.anchors[0].node_type), *(s.there for s in plan.steps)]
+        for i, s in enumerate(plan.steps, 1):
+            rows = paths.select(f"n{i - 1}", f"n{i}", F.col(f"e{i}").alias("edge_id"))
+            for at, end in zip((i - 1, i), ("subject", "object") if symbol(s.direction) == "OUT" else ("object", "subject"), strict=True):
+                named = graph.nodes(None if kinds[at] in WILDCARDS else kinds[at]).select(F.col("key").alias("named"), F.col("name").alias(end))
+                rows = rows.join(named, F.col(f"n{at}") == F.col("named")).drop("named")
+            first = rows.groupBy("subject", "object").agg(F.min("edge_id").alias("edge_id")).orderBy("subject", "object").limit(MOST_EDGE_CLAIMS)
+            out += [{"hop": i, "relation": symbol(s.relation), **r.asDict()} for r in first.collect()]
+        return out
+
     def _aggregated(self, plan: BoundPlan) -> dict[str, Any]:
         got = [r.asDict() for r in build(plan, self.graph).collect()]
         op = plan.aggregation.operation
@@ -315,7 +331,7 @@ class Runtime:
             response = {"answer": "I don't know.", "claims": [], "metadata": {"execution_receipt": receipt.to_dict(), "lineage": receipt.lineage(), "reasons": list(pre.reasons)}}
             return Answer(c, admission, pre, post, ran, receipt, None, response, status)
         claims = claims_of(c.bound, ran.evidence, post.truth, post.allowed)
-        shown = {"nodes": ran.evidence.nodes, "edges": ran.evidence.edges, "provenance": ran.evidence.provenance, "witnesses": [vars(w) for w in ran.evidence.witnesses], "reasons": list(post.reasons)}
+        shown = {"nodes": ran.evidence.nodes, "edges": ran.evidence.edges, "claimed": ran.evidence.claimed, "provenance": ran.evidence.provenance, "witnesses": [vars(w) for w in ran.evidence.witnesses], "reasons": list(post.reasons)}
         return Answer(c, admission, pre, post, ran, receipt, claims, render(claims, receipt.to_dict(), receipt.lineage(), shown), status)
 
 
