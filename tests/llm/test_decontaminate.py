@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tracewalk.llm import decontaminate as dc
 
@@ -35,6 +36,60 @@ def test_svd_finds_the_leading_space(spark):
     assert near[0] > 0.95 and near[1] > 0.9999
 
 
+def test_basis_is_fitted_on_every_passage_and_item(spark, monkeypatch):
+    """Of many subjects a few rows hold few: the basis must hold nearly as much of all rows as the best one does."""
+    monkeypatch.setattr(dc, "FIT_PASSAGES", 25)
+    monkeypatch.setattr(dc, "FIT_ITEMS", 10)
+    rng = random.Random(3)
+    texts = [" ".join(f"s{i % 60}w{rng.randrange(12)}" for _ in range(rng.choice([20, 40, 70, 150]))) for i in range(240)]
+    items = [" ".join(f"i{i}w{rng.randrange(12)}" for _ in range(20)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    search = dc._fit(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), dc.COSINE, dc.LCS, dc.ANSWER)
+
+    def terms(text):
+        _, _, data, offsets = next(dc.tk.chunks(pa.array([text])))
+        return dc.terms_of(dc._words(data, offsets)[2]).astype(np.int64)
+
+    words = [terms(t) for t in texts]
+    df = np.bincount(np.concatenate([np.unique(w) for w in words]), minlength=dc.TERMS)
+    idf = np.log((len(texts) + 1) / (df + 1)) + 1e-3
+    passages = [w[b:e] for w in words for b, e in zip(*dc._passages(np.array([len(w)]))[1:], strict=True)]
+    weight = np.concatenate([np.full(len(passages), (25 / len(passages)) ** 0.5), np.full(30, dc.ITEM_WEIGHT * (10 / 30) ** 0.5)])
+    row, term, value = dc._tfidf([*passages, *map(terms, items)], weight, idf)
+    dense = np.zeros((len(weight), dc.TERMS), np.float32)
+    dense[row, term] = value
+    basis = np.frombuffer(dc._load(search.table), np.float32).reshape(dc.TERMS, -1) / idf[:, None]
+    assert np.allclose(basis.T @ basis, np.eye(dc.RANK), atol=1e-3)
+    held, asked = dense[: len(passages)].astype(np.float64), dense[len(passages) :]
+    best = np.sort(np.linalg.eigvalsh(held @ held.T))[-(dc.RANK - len(items)) :].sum()  # the items, which weigh more, take a direction each
+    assert np.sum((held @ basis) ** 2) > 0.8 * best
+    assert np.sum((asked @ basis) ** 2) > 0.9 * np.sum(asked**2)
+
+
+def test_passages_add_up_as_rows_of_their_own(monkeypatch):
+    """The shares that passages give, long texts cut into pieces among them, are those of the same passages as rows."""
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 23, 24, 25, 48, 49, 72, 300, 0, 5, 4801, 12]
+    texts = [rng.integers(0, 300, n).astype(np.uint16) for n in sizes]
+    idf = rng.uniform(0.1, 5, dc.TERMS)
+    packed = pa.RecordBatch.from_pydict({"terms": pa.array([x.tobytes() for x in texts], pa.binary())})
+    passages = [x[b:e].tolist() for x in texts for b, e in zip(*dc._passages(np.array([len(x)]))[1:], strict=True)]
+    rows = pa.RecordBatch.from_pydict({"weight": pa.array([0.5] * len(passages)), "terms": pa.array(passages, pa.list_(pa.int32()))})
+
+    def whole(parts):
+        return np.concatenate([np.frombuffer(x, np.float32).reshape(-1, 7) for p in parts for x in p.column("part").to_pylist()])
+
+    for most in (dc.FIT_WORDS, 1 << 12, 100, 30):
+        monkeypatch.setattr(dc, "FIT_WORDS", most)
+        for last in (False, True):
+            want = whole(dc._normal([rows], None, 7, 3, idf, last))
+            assert np.allclose(whole(dc._normal_passages([packed.slice(0, 3), packed.slice(3)], None, 7, 3, idf, last, 0.5)), want, rtol=1e-3, atol=1e-4 * abs(want).max())
+        (counts,) = dc._frequencies([packed.slice(0, 3), packed.slice(3)])
+        got = dict(zip(counts.column("term").to_pylist(), counts.column("n").to_pylist(), strict=True))
+        assert got.pop(-1) == len(texts) and got.pop(-2) == len(passages)
+        assert got == dict(zip(*(x.tolist() for x in np.unique(np.concatenate([np.unique(x) for x in texts]), return_counts=True)), strict=True))
+
+
 def paraphrase(words, rng):
     out = []
     for w in words:

@@ -10,9 +10,10 @@ holds enough of the item within a stretch of text not much longer than it, and e
 of the item's answer (its last words). Paraphrases that keep word order are caught,
 and common vocabulary alone is not.
 
-Document frequencies cover every text and the search covers every passage. Only the basis
-is fitted on a sample: at most about FIT_PASSAGES passages, by hash, and FIT_ITEMS items.
-Texts are read twice and never shuffled. What a task holds besides a chunk of text is the basis
+Document frequencies cover every text, the basis is fitted on every passage and every item that has
+vectors, and the search covers every passage; nothing is sampled.
+Texts are read twice and never shuffled; the passes of the fit reread their terms, two bytes a word,
+from the shared folder. What a task holds besides a chunk of text is the basis
 and the items' blocks, which it reads from the shared folder; the driver holds neither.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import pickle
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,11 @@ from .scratch import discard, materialize, new_path, open_fs, release, trim, wri
 TERMS = 1 << 15
 HALF = 24  # a passage is two halves; the next one starts a half later
 RANK, EXTRA = 96, 12
-FIT_PASSAGES, FIT_ITEMS, FIT_TASKS = 20_000, 5_000, 4
+#: All passages together weigh at most as much as so many in the fit, and all items as so many, so that neither drowns the other in large tables.
+FIT_PASSAGES, FIT_ITEMS = 20_000, 5_000
+FIT_TASKS = 4
+#: Words that a pass of the fit takes at once, and those whose rows it gathers at once, few enough for a core's cache.
+FIT_WORDS, GATHER = 1 << 17, 1 << 10
 #: Items count so much more than passages in the fit, for the basis to span them.
 ITEM_WEIGHT = 10.0
 COSINE, LCS, ANSWER = 0.6, 0.55, 0.5
@@ -73,32 +79,58 @@ def _passages(per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return text, begin, np.minimum(begin + 2 * HALF, np.cumsum(per_text)[text])
 
 
-def _frequencies(batches):
-    df, texts, passages = np.zeros(TERMS, np.int64), 0, 0
+def _pack(batches):
+    """Each text as the terms of its words, two bytes each."""
     for batch in batches:
         for first, end, data, offsets in tk.chunks(batch.column("text")):
             _, _, hashes, per_text = _words(data, offsets)
-            key = np.unique(np.repeat(np.arange(end - first), per_text) * TERMS + terms_of(hashes))
-            df += np.bincount(key % TERMS, minlength=TERMS)
-            texts += end - first
-            passages += len(_passages(per_text)[0])
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), "n": pa.array(np.concatenate([df[at], [texts, passages]]))})
+            cuts = np.concatenate([[0], 2 * np.cumsum(per_text)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), end - first, [None, pa.py_buffer(cuts), pa.py_buffer(terms_of(hashes).astype(np.uint16))])], names=["terms"])
     trim()
 
 
-def _draw(batches, rate: float):
+def _runs(batch: pa.RecordBatch):
+    """(terms, words per text) of runs of texts of about FIT_WORDS words; a longer text is a run of its own."""
+    column, n = batch.column("terms").cast(pa.large_binary()), batch.num_rows
+    if not n:
+        return
+    _, cuts, data = column.buffers()
+    cuts = np.frombuffer(cuts, np.int64)[column.offset : column.offset + n + 1]
+    terms = np.frombuffer(data, np.uint8)[: cuts[-1]].view(np.uint16) if cuts[-1] else np.zeros(0, np.uint16)
+    cuts = cuts // 2
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + FIT_WORDS, "right")) - 1)
+        yield terms[cuts[lo] : cuts[hi]].astype(np.int64), np.diff(cuts[lo : hi + 1])
+        lo = hi
+
+
+def _pieces(batch: pa.RecordBatch):
+    """The same with long texts cut into pieces that share a half, so that each passage lies in one of them."""
+    most = max(2, FIT_WORDS // HALF)
+    for terms, per_text in _runs(batch):
+        if len(per_text) > 1 or len(terms) <= most * HALF:
+            yield terms, per_text
+            continue
+        for half in range(0, -(-len(terms) // HALF) - 1, most - 1):
+            own = terms[half * HALF : (half + most) * HALF]
+            yield own, np.array([len(own)])
+
+
+def _frequencies(batches):
+    df, texts, passages = np.zeros(TERMS, np.int64), 0, 0
     for batch in batches:
-        for _, _, data, offsets in tk.chunks(batch.column("text")):
-            _, _, hashes, per_text = _words(data, offsets)
-            _, begin, end = _passages(per_text)
-            luck = tk.mix(hashes[begin] + tk.mix(hashes[end - 1]) * np.uint64(3) + (end - begin).astype(np.uint64)) >> np.uint64(11)
-            pick = luck < np.uint64(int(rate * (1 << 53)))
-            terms = terms_of(hashes)
-            rows = [terms[b:e] for b, e in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)]
-            if rows:
-                cuts = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(rows)))], names=["weight", "terms"])
+        for terms, per_text in _runs(batch):
+            if len(per_text) > 1:
+                terms = np.unique(np.repeat(np.arange(len(per_text)), per_text) * TERMS + terms) % TERMS
+                df += np.bincount(terms, minlength=TERMS)
+            else:
+                df += np.bincount(terms, minlength=TERMS) > 0
+            texts += len(per_text)
+            passages += len(_passages(per_text)[0])
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), "n": pa.array(np.concatenate([df[at], [texts, passages]]))})
+    trim()
 
 
 def _tfidf(rows: list[np.ndarray], weight: np.ndarray, idf: np.ndarray):
@@ -118,6 +150,16 @@ def _sum_rows(keys: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
         out[keys[at]] += np.add.reduceat(rows, at, axis=0)
 
 
+def _half_sums(table: np.ndarray, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each half's rows of the table."""
+    out = np.empty((len(first), table.shape[1]), table.dtype)
+    cuts = np.append(first, len(terms))
+    for lo in range(0, len(first), GATHER // HALF):
+        own = cuts[lo : lo + GATHER // HALF + 1]
+        np.add.reduceat(table[terms[own[0] : own[-1]]], own[:-1] - own[0], axis=0, out=out[lo : lo + len(own) - 1])
+    return out
+
+
 def _load(uri: str) -> bytes:
     fs, path = open_fs(uri)
     with fs.open_input_stream(path) as file:
@@ -131,10 +173,15 @@ def _basis(uri: str | None, columns: int, seed: int) -> np.ndarray:
     return np.frombuffer(_load(uri), np.float32).reshape(TERMS, -1)
 
 
-def _normal(batches, uri: str | None, columns: int, seed: int, idf: np.ndarray):
-    """This task's share of A'A times the basis, in blocks of rows."""
+def _blocks(total: np.ndarray):
+    for i in range(0, len(total), 1024):
+        yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "part": pa.array([total[i : i + 1024].tobytes()], pa.binary())})
+
+
+def _normal(batches, uri: str | None, columns: int, seed: int, idf: np.ndarray, last: bool):
+    """This task's share of A'A times the basis, in blocks of rows; in the last pass of the basis' transpose times that, which is small."""
     basis = _basis(uri, columns, seed)
-    total = np.zeros(basis.shape, np.float32)
+    total = np.zeros((columns if last else TERMS, columns), np.float32)
     for batch in batches:
         weight, lists = batch.column("weight").to_numpy(), batch.column("terms")
         for lo in range(0, batch.num_rows, 250):
@@ -143,11 +190,54 @@ def _normal(batches, uri: str | None, columns: int, seed: int, idf: np.ndarray):
             value = value.astype(np.float32)[:, None]
             y = np.zeros((len(rows), basis.shape[1]), np.float32)
             _sum_rows(row, value * basis[term], y)
+            if last:
+                total += y.T @ y
+                continue
             order = np.argsort(term, kind="stable")
             _sum_rows(term[order], value[order] * y[row[order]], total)
     del basis
-    for i in range(0, TERMS, 1024):
-        yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "part": pa.array([total[i : i + 1024].tobytes()], pa.binary())})
+    yield from _blocks(total)
+    del total
+    trim()
+
+
+def _normal_passages(batches, uri: str | None, columns: int, seed: int, idf: np.ndarray, last: bool, weight: float):
+    """The same for all passages of texts of terms: a half's words are added up once for the two passages that hold it."""
+    table = _basis(uri, columns, seed) * idf[:, None].astype(np.float32)
+    total = np.zeros((columns if last else TERMS, columns), np.float32)
+    for batch in batches:
+        for terms, per_text in _pieces(batch):
+            if not len(terms):
+                continue
+            first, _ = _halves(per_text)
+            _, begin, end = _passages(per_text)
+            half, size = np.searchsorted(first, begin), end - begin
+            two = np.flatnonzero(size > HALF)
+            own = np.repeat(np.arange(len(size)), size)
+            word = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - begin, size)
+            key, tf = np.unique(own * TERMS + terms[word], return_counts=True)
+            norm = np.sqrt(np.bincount(key // TERMS, (tf * idf[key % TERMS]) ** 2, len(size)))
+            scale = (weight / np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
+            sums = _half_sums(table, terms, first)
+            y = sums[half]
+            y[two] += sums[half[two] + 1]
+            y *= scale
+            if last:
+                total += y.T @ y
+                continue
+            y *= scale
+            back = np.zeros_like(sums)
+            back[half] = y
+            back[half[two] + 1] += y[two]
+            order = np.argsort(terms.astype(np.uint16), kind="stable")
+            half_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
+            terms, half_of = terms[order], half_of[order]
+            for lo in range(0, len(terms), GATHER):
+                _sum_rows(terms[lo : lo + GATHER], back[half_of[lo : lo + GATHER]], total)
+    del table
+    if not last:
+        total *= idf[:, None].astype(np.float32)
+    yield from _blocks(total)
     del total
     trim()
 
@@ -159,15 +249,14 @@ def _add_parts(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _next_basis(batches, uri: str | None, columns: int, seed: int, rank: int, last: bool, to: str):
     """Writes the orthonormal basis of the image, or after the last pass its leading ``rank`` directions (Rayleigh-Ritz)."""
-    image = np.zeros((TERMS, columns), np.float32)
+    image = np.zeros((columns if last else TERMS, columns), np.float32)
     for batch in batches:
         for block, part in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), strict=True):
             x = np.frombuffer(part, np.float32).reshape(-1, columns)
             image[block : block + len(x)] = x
     if last:
-        basis = _basis(uri, columns, seed)
-        values, turn = np.linalg.eigh(basis.T.astype(np.float64) @ image)
-        found = basis @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)
+        values, turn = np.linalg.eigh(image.astype(np.float64))
+        found = _basis(uri, columns, seed) @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)
     else:
         found = np.linalg.qr(image)[0]
     write_atomic(to, np.ascontiguousarray(found, np.float32).tobytes())
@@ -176,17 +265,23 @@ def _next_basis(batches, uri: str | None, columns: int, seed: int, rank: int, la
     yield pa.RecordBatch.from_pydict({"uri": [to]})
 
 
-def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, passes: int = 2, seed: int = 3) -> str:
+def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, passes: int = 2, seed: int = 3, texts: DataFrame | None = None, weight: float = 1.0) -> str:
     """URI of a file of the (TERMS, rank) leading right singular vectors of the TF-IDF rows ``rows(weight, terms)``, as 32-bit floats.
 
-    A pass is one job: TERMS * (rank + extra) numbers from each of FIT_TASKS tasks, summed by blocks of
-    rows, come to one task that orthogonalises them; a Rayleigh-Ritz step finishes the last.
+    ``texts(terms)``, packed as ``_pack`` does, add all of their passages as rows of that ``weight``.
+    A pass is one job over all rows: TERMS * (rank + extra) numbers from each task, of which there are about as many
+    as cores, summed by blocks of rows, come to one task that orthogonalises them; a Rayleigh-Ritz step finishes the last.
     """
-    uri = None
+    spark, uri, schema = rows.sparkSession, None, "block int, part binary"
     for i in range(passes):
-        to = new_path(rows.sparkSession, f"basis-{i}")
-        parts = rows.coalesce(FIT_TASKS).mapInArrow(partial(_normal, uri=uri, columns=rank + extra, seed=seed, idf=idf), "block int, part binary").groupBy("block").applyInPandas(_add_parts, "block int, part binary")
-        parts.repartition(1).mapInArrow(partial(_next_basis, uri=uri, columns=rank + extra, seed=seed, rank=rank, last=i == passes - 1, to=to), "uri string").collect()
+        to = new_path(spark, f"basis-{i}")
+        own = {"uri": uri, "columns": rank + extra, "seed": seed, "last": i == passes - 1}
+        parts = rows.coalesce(FIT_TASKS).mapInArrow(partial(_normal, idf=idf, **own), schema)
+        if texts is not None:
+            tasks = max(FIT_TASKS, spark.sparkContext.defaultParallelism)
+            parts = parts.unionByName(texts.coalesce(tasks).mapInArrow(partial(_normal_passages, idf=idf, weight=weight, **own), schema))
+        parts = parts.groupBy("block").applyInPandas(_add_parts, schema)
+        parts.repartition(1).mapInArrow(partial(_next_basis, rank=rank, to=to, **own), "uri string").collect()
         uri = to
     return uri
 
@@ -266,12 +361,12 @@ def verify(region: list[int], words: list[int], masks: dict[int, int], lcs: floa
     """(share of the item, share of its answer, first, end) of the best stretch of the region, or None when it is no leak."""
     size = len(words)
     tail = max(3, size // 4)
-    hits = [masks.get(h, 0) for h in region]
-    places = [i for i, m in enumerate(hits) if m]
+    hits = list(map(masks.get, region, repeat(0)))
     need = lcs * size
     best = None
-    if len(places) < need:
+    if not hits or len(hits) - hits.count(0) < need:
         return None
+    places = [i for i, m in enumerate(hits) if m]
     stretch = 2 * size
     lo = places[0]
     while True:
@@ -297,7 +392,7 @@ def _leaks(data, offsets, table: np.ndarray, blocks: list[Items], cosine: float,
     if not len(hashes):
         return found
     first, n = _halves(per_text)
-    sums = np.add.reduceat(table[terms_of(hashes)], first, axis=0)
+    sums = _half_sums(table, terms_of(hashes), first)
     text, begin, end = _passages(per_text)
     half = np.searchsorted(first, begin)
     two = end > begin + HALF
@@ -400,10 +495,10 @@ def _hashes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.asarray(x, np.int64).view(np.uint64) for x in batch.column("words").to_numpy(zero_copy_only=False)]
 
 
-def _item_terms(batches):
+def _item_terms(batches, weight: float):
     for batch in batches:
         rows = [terms_of(x).tolist() for x in _hashes_of(batch)]
-        yield pa.RecordBatch.from_pydict({"weight": pa.array([ITEM_WEIGHT] * len(rows), pa.float64()), "terms": pa.array(rows, pa.list_(pa.int32()))})
+        yield pa.RecordBatch.from_pydict({"weight": pa.array([weight] * len(rows), pa.float64()), "terms": pa.array(rows, pa.list_(pa.int32()))})
 
 
 def _write_items(batches, table: str, folder: str):
@@ -452,19 +547,18 @@ def _fit(docs: DataFrame, benchmark: DataFrame, cosine: float, lcs: float, answe
     if not n_items:
         return Search("", (), cosine, lcs, answer)
 
-    counted = texts.mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS rows at most
+    packed = materialize(texts.mapInArrow(_pack, "terms binary"), "terms")
+    counted = packed.mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS rows at most
     df = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist(), strict=True))
     n_texts, n_passages = df.pop(-1, 0), df.pop(-2, 0)
     idf = np.zeros(TERMS)
     idf[list(df)] = list(df.values())
     idf = np.log((n_texts + 1) / (idf + 1)) + 1e-3
 
-    rate = min(1.0, FIT_PASSAGES / max(1, n_passages))
-    some = items.where((F.size("words") >= LEAST_WORDS) & (F.pmod(F.xxhash64("words"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_ITEMS / n_items))))
-    sample = texts.mapInArrow(partial(_draw, rate=rate), "weight double, terms array<int>").unionByName(some.mapInArrow(_item_terms, "weight double, terms array<int>"))
-    sample = materialize(sample, "passages")
-    basis = randomised_svd(sample, idf)
-    discard(sample)
+    long = items.where(F.size("words") >= LEAST_WORDS)
+    rows = long.mapInArrow(partial(_item_terms, weight=ITEM_WEIGHT * min(1.0, FIT_ITEMS / n_items) ** 0.5), "weight double, terms array<int>")
+    basis = randomised_svd(rows, idf, texts=packed, weight=min(1.0, FIT_PASSAGES / max(1, n_passages)) ** 0.5)
+    discard(packed)
     table, folder = new_path(spark, "projection"), new_path(spark, "item-blocks")
     spark.range(1).repartition(1).mapInArrow(partial(_scaled, idf=idf, basis=basis, to=table), "id long").collect()
     blocks = items.repartition(-(-n_items // ITEM_BLOCK), "item_id").sortWithinPartitions("item_id").mapInArrow(partial(_write_items, table=table, folder=folder), "uri string").collect()
