@@ -3,6 +3,8 @@ from llmdata import SF
 from test_bitplanes import expected
 from test_parity_join import brute
 
+from tracewalk.llm import decontaminate
+
 
 def test_stages_agree_with_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -40,3 +42,16 @@ def test_run_is_its_stages_and_odd_tables_pass(spark, odd_docs, no_docs, tmp_pat
     got = {r.doc_id for r in cp.run(spark, f"{tmp_path}/odd").collect()}
     assert got <= {1, 2, 5, 7, None} and not got & {3, 4, 6, 8}
     assert cp.ORACLE_SQL is None
+
+
+def test_leaks_stage_fits_its_basis_on_every_document(spark, monkeypatch, tmp_path):
+    """Were the basis fitted on as few rows as these weigh, paraphrases without a run of five words would stay."""
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 1)
+    monkeypatch.setattr(decontaminate, "FIT_ITEMS", 1)
+    items = [[f"i{i}w{k}" for k in range(32)] for i in range(40)]
+    clean = [(i, " ".join(f"c{(i * 7 + k * 3) % 500}" for k in range(60))) for i in range(100)]
+    leaks = [(1000 + i, " ".join(x for k, w in enumerate(words) for x in ([w, "moreover"] if k % 4 == 3 else [w]))) for i, words in enumerate(items)]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(clean + leaks, "doc_id long, text string")
+    kept = cp.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in clean]

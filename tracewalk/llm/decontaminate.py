@@ -41,7 +41,7 @@ RANK, EXTRA = 96, 12
 FIT_PASSAGES, FIT_ITEMS = 20_000, 5_000
 FIT_TASKS = 4
 #: Words that a pass of the fit takes at once, and those whose rows it gathers at once, few enough for a core's cache.
-FIT_WORDS, GATHER = 1 << 17, 1 << 10
+FIT_WORDS, GATHER = 1 << 16, 1 << 10
 #: Items count so much more than passages in the fit, for the basis to span them.
 ITEM_WEIGHT = 10.0
 COSINE, LCS, ANSWER = 0.6, 0.55, 0.5
@@ -201,39 +201,43 @@ def _normal(batches, uri: str | None, columns: int, seed: int, idf: np.ndarray,
     trim()
 
 
+def _add_passages(terms: np.ndarray, per_text: np.ndarray, table: np.ndarray, idf: np.ndarray, last: bool, weight: float, total: np.ndarray) -> None:
+    first, _ = _halves(per_text)
+    _, begin, end = _passages(per_text)
+    half, size = np.searchsorted(first, begin), end - begin
+    two = np.flatnonzero(size > HALF)
+    own = np.repeat(np.arange(len(size)), size)
+    word = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - begin, size)
+    key, tf = np.unique(own * TERMS + terms[word], return_counts=True)
+    norm = np.sqrt(np.bincount(key // TERMS, (tf * idf[key % TERMS]) ** 2, len(size)))
+    scale = (weight / np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
+    sums = _half_sums(table, terms, first)
+    y = sums[half]
+    y[two] += sums[half[two] + 1]
+    y *= scale
+    if last:
+        total += y.T @ y
+        return
+    y *= scale
+    back = np.zeros_like(sums)
+    back[half] = y
+    back[half[two] + 1] += y[two]
+    order = np.argsort(terms.astype(np.uint16), kind="stable")
+    half_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
+    terms, half_of = terms[order], half_of[order]
+    for lo in range(0, len(terms), GATHER):
+        _sum_rows(terms[lo : lo + GATHER], back[half_of[lo : lo + GATHER]], total)
+
+
 def _normal_passages(batches, uri: str | None, columns: int, seed: int, idf: np.ndarray, last: bool, weight: float):
     """The same for all passages of texts of terms: a half's words are added up once for the two passages that hold it."""
-    table = _basis(uri, columns, seed) * idf[:, None].astype(np.float32)
     total = np.zeros((columns if last else TERMS, columns), np.float32)
+    table = _basis(uri, columns, seed)
+    table = table * idf[:, None].astype(np.float32)
     for batch in batches:
         for terms, per_text in _pieces(batch):
-            if not len(terms):
-                continue
-            first, _ = _halves(per_text)
-            _, begin, end = _passages(per_text)
-            half, size = np.searchsorted(first, begin), end - begin
-            two = np.flatnonzero(size > HALF)
-            own = np.repeat(np.arange(len(size)), size)
-            word = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - begin, size)
-            key, tf = np.unique(own * TERMS + terms[word], return_counts=True)
-            norm = np.sqrt(np.bincount(key // TERMS, (tf * idf[key % TERMS]) ** 2, len(size)))
-            scale = (weight / np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
-            sums = _half_sums(table, terms, first)
-            y = sums[half]
-            y[two] += sums[half[two] + 1]
-            y *= scale
-            if last:
-                total += y.T @ y
-                continue
-            y *= scale
-            back = np.zeros_like(sums)
-            back[half] = y
-            back[half[two] + 1] += y[two]
-            order = np.argsort(terms.astype(np.uint16), kind="stable")
-            half_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
-            terms, half_of = terms[order], half_of[order]
-            for lo in range(0, len(terms), GATHER):
-                _sum_rows(terms[lo : lo + GATHER], back[half_of[lo : lo + GATHER]], total)
+            if len(terms):
+                _add_passages(terms, per_text, table, idf, last, weight, total)
     del table
     if not last:
         total *= idf[:, None].astype(np.float32)
