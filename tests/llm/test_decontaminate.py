@@ -201,3 +201,52 @@ def test_candidates_lose_nothing_that_a_search_of_all_places_finds(spark):
                 want.add((d, i))
     found = dc.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(want) > 40 and len(want - {(r.doc_id, r.item_id) for r in found}) <= 0.02 * len(want)
+
+
+def test_rows_add_up_by_key_however_frequent():
+    rng = np.random.default_rng(6)
+    table = rng.normal(size=(50, 3)).astype(np.float32)
+    for n in (0, 1, 24, 25, 600, 20_000):
+        keys = np.sort(np.where(rng.random(n) < 0.5, 3, rng.integers(0, 400, n)))
+        rows = rng.integers(0, 50, n)
+        want, got = np.zeros((400, 3)), np.zeros((400, 3), np.float32)
+        np.add.at(want, keys, table[rows])
+        dc._add_by_key(keys, table, rows, got)
+        assert np.allclose(got, want, atol=1e-3 * max(1, abs(want).max()))
+
+
+def test_no_region_is_refused_that_holds_a_leak(monkeypatch):
+    """Regions of few words, repeated ones among them, are held against ``verify`` one by one, under few codes too."""
+    rng = random.Random(12)
+    mask = (1 << 64) - 1
+    vocabulary = [(i + 1) * 0x9E3779B97F4A7C15 & mask for i in range(40)]
+    for codes, at_once in ((1 << 13, 1 << 15), (1 << 4, 50)):
+        monkeypatch.setattr(dc, "CODES", codes)
+        monkeypatch.setattr(dc, "REGION_WORDS", at_once)
+        words = [[rng.choice(vocabulary[:n]) for _ in range(rng.randint(8, 30))] for n in (3, 10, 40, 40)]
+        items = dc.Items([0, 1, 2, 3], words, np.zeros((4, 1), np.float32), np.arange(4), np.zeros(4, np.int64))
+        text = [w for i in range(300) for w in (rng.choice(words)[rng.randrange(4) :] if i % 3 else [rng.choice(vocabulary) for _ in range(9)])]
+        lo = np.array([rng.randrange(len(text)) for _ in range(1500)])
+        hi, item = np.minimum(lo + [rng.randrange(-1, 70) for _ in lo], len(text)), np.array([rng.randrange(4) for _ in lo])
+        kept = items.enough(dc.code_of(np.array(text, np.uint64)), lo, hi, item, dc.LCS)
+        leaks = np.array([dc.verify(text[a:b], words[j], items.masks()[j], dc.LCS, dc.ANSWER) is not None for a, b, j in zip(lo.tolist(), hi.tolist(), item.tolist(), strict=True)])
+        assert 200 < leaks.sum() and not (leaks & ~kept).any()
+        assert codes < 1 << 13 or kept.sum() < 1200
+
+
+def test_places_with_too_few_of_an_items_words_are_not_verified(monkeypatch):
+    """Texts whose vectors are near an item's, for they repeat one word of it, cost no comparison of words; a paraphrase does and is found."""
+    item = [f"w{i}" for i in range(20)]
+    hashes = lambda text: dc._words(*next(dc.tk.chunks(pa.array([text])))[2:])[2]
+    own = hashes(" ".join(item))
+    table = np.zeros((dc.TERMS, 2), np.float32)
+    table[:, 1] = 1
+    table[dc.terms_of(own)] = 1, 0
+    items = dc.Items([7], [own.tolist()], np.array([[1, 0]], np.float32), np.zeros(1, np.int64), np.zeros(1, np.int64))
+    calls, verify = [], dc.verify
+    monkeypatch.setattr(dc, "verify", lambda *a: calls.append(a) or verify(*a))
+    texts = [" ".join([f"w{i % 20}"] * 40) for i in range(100)] + [" ".join(w for i, w in enumerate(item) if i % 5)]
+    _, _, data, offsets = next(dc.tk.chunks(pa.array(texts)))
+    got = dc._leaks(data, offsets, table, [items], dc.COSINE, dc.LCS, dc.ANSWER)
+    assert [(t, i, row[0]) for (t, i), row in got.items()] == [(100, 7, 0.8)]
+    assert len(calls) <= 2, len(calls)

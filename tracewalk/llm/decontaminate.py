@@ -4,7 +4,7 @@ Texts are cut into overlapping passages. A passage is a TF-IDF vector over hashe
 projected on the leading right singular vectors of passages and benchmark items, which
 a distributed randomised SVD finds: tasks multiply their share of the matrix, and one task
 orthogonalises a basis of fixed size. Passages whose cosine with an item is high
-are candidates, and so is every place that shares RUN consecutive words with an item, whatever
+are candidates, unless too few words of the place are the item's, and so is every place that shares RUN consecutive words with an item, whatever
 its cosine: no verbatim item is lost to the basis. A candidate is a leak when the longest common subsequence of words
 holds enough of the item within a stretch of text not much longer than it, and enough
 of the item's answer (its last words). Paraphrases that keep word order are caught,
@@ -40,8 +40,8 @@ RANK, EXTRA = 96, 12
 #: All passages together weigh at most as much as so many in the fit, and all items as so many, so that neither drowns the other in large tables.
 FIT_PASSAGES, FIT_ITEMS = 20_000, 5_000
 FIT_TASKS = 4
-#: Words that a pass of the fit takes at once, and those whose rows it gathers at once, few enough for a core's cache.
-FIT_WORDS, GATHER = 1 << 16, 1 << 10
+#: Words that a pass of the fit takes at once, and groups of rows that are added up side by side, few enough for a core's cache.
+FIT_WORDS, GROUPS = 1 << 16, 1 << 8
 #: Items count so much more than passages in the fit, for the basis to span them.
 ITEM_WEIGHT = 10.0
 COSINE, LCS, ANSWER = 0.6, 0.55, 0.5
@@ -51,6 +51,8 @@ ITEM_BLOCK = 4096
 #: Consecutive words that make a place a candidate by themselves.
 RUN = 5
 CHUNK = 1 << 18
+#: Codes of words by which regions are refused before they are verified; words of regions, and regions, that are looked up at once.
+CODES, REGION_WORDS, CANDIDATES = 1 << 13, 1 << 15, 1 << 14
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -150,16 +152,50 @@ def _sum_rows(keys: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
         out[keys[at]] += np.add.reduceat(rows, at, axis=0)
 
 
+def _group_sums(table: np.ndarray, rows: np.ndarray, begin: np.ndarray, size: np.ndarray):
+    """(groups, the sum of each one's rows of the table) in blocks, every group once: group i is rows[begin[i] : begin[i] + size[i]], of one row at least.
+
+    A block adds up a row of each of its groups at a time, whole arrays that stay in a core's cache.
+    """
+    order = np.argsort(-size, kind="stable")
+    buffer = np.empty((GROUPS, table.shape[1]), table.dtype)
+    for lo in range(0, len(order), GROUPS):
+        own = order[lo : lo + GROUPS]
+        at, n = begin[own], size[own]
+        total = table[rows[at]]
+        more = len(own) - np.searchsorted(n[::-1], np.arange(1, int(n[0])), "right")  # groups that have another row
+        for k, m in enumerate(more.tolist(), 1):
+            np.take(table, rows[at[:m] + k], axis=0, out=buffer[:m], mode="clip")
+            total[:m] += buffer[:m]
+        yield own, total
+
+
 def _half_sums(table: np.ndarray, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of each half's rows of the table."""
     out = np.empty((len(first), table.shape[1]), table.dtype)
-    cuts = np.append(first, len(terms))
-    for lo in range(0, len(first), GATHER // HALF):
-        own = cuts[lo : lo + GATHER // HALF + 1]
-        np.add.reduceat(table[terms[own[0] : own[-1]]], own[:-1] - own[0], axis=0, out=out[lo : lo + len(own) - 1])
+    for own, total in _group_sums(table, terms, first, np.diff(np.append(first, len(terms)))):
+        out[own] = total
     return out
 
 
+def _add_by_key(keys: np.ndarray, table: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """out[k] += the table's rows that ``rows`` names where the key is k; keys ascend. A frequent key's rows are added up in groups of HALF first."""
+    while len(keys):
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(begin, len(keys)))
+        few = size <= HALF
+        for own, total in _group_sums(table, rows, begin[few], size[few]):
+            out[keys[begin[few][own]]] += total
+        begin, size = begin[~few], size[~few]
+        n = -(-size // HALF)
+        part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        begin, size = np.repeat(begin, n) + part * HALF, np.minimum(np.repeat(size, n) - part * HALF, HALF)
+        sums = np.empty((len(begin), table.shape[1]), table.dtype)
+        for own, total in _group_sums(table, rows, begin, size):
+            sums[own] = total
+        keys, table, rows = keys[begin], sums, np.arange(len(begin))
+
+
 def _load(uri: str) -> bytes:
     fs, path = open_fs(uri)
     with fs.open_input_stream(path) as file:
@@ -206,9 +242,9 @@ def _add_passages(terms: np.ndarray, per_text: np.ndarray, table: np.ndarray, id
     _, begin, end = _passages(per_text)
     half, size = np.searchsorted(first, begin), end - begin
     two = np.flatnonzero(size > HALF)
-    own = np.repeat(np.arange(len(size)), size)
+    own = np.repeat(np.arange(len(size), dtype=np.uint32), size)  # fewer than 2 ** 17 passages of fewer words
     word = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - begin, size)
-    key, tf = np.unique(own * TERMS + terms[word], return_counts=True)
+    key, tf = np.unique(own * np.uint32(TERMS) + terms.astype(np.uint32)[word], return_counts=True)
     norm = np.sqrt(np.bincount(key // TERMS, (tf * idf[key % TERMS]) ** 2, len(size)))
     scale = (weight / np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
     sums = _half_sums(table, terms, first)
@@ -224,9 +260,7 @@ def _add_passages(terms: np.ndarray, per_text: np.ndarray, table: np.ndarray, id
     back[half[two] + 1] += y[two]
     order = np.argsort(terms.astype(np.uint16), kind="stable")
     half_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(terms))))
-    terms, half_of = terms[order], half_of[order]
-    for lo in range(0, len(terms), GATHER):
-        _sum_rows(terms[lo : lo + GATHER], back[half_of[lo : lo + GATHER]], total)
+    _add_by_key(terms[order], back, half_of[order], total)
 
 
 def _normal_passages(batches, uri: str | None, columns: int, seed: int, idf: np.ndarray, last: bool, weight: float):
@@ -312,6 +346,45 @@ class Items:
                 self._masks.append(own)
         return self._masks
 
+    def sizes(self) -> np.ndarray:
+        return np.array([len(x) for x in self.words], np.int64)
+
+    def members(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a bit for each item and code: set where a word of the item has that code; those items and codes in order; the item's words of each)."""
+        if not hasattr(self, "_members"):
+            sizes = self.sizes()
+            code = code_of(np.concatenate([np.zeros(0, np.uint64), *(np.array(x, np.uint64) for x in self.words)]))
+            at, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * CODES + code, return_counts=True)
+            bits = np.zeros(len(sizes) * CODES // 8, np.uint8)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            self._members = bits, at, n
+        return self._members
+
+    def enough(self, codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, share: float) -> np.ndarray:
+        """Whether so many words of the regions [lo, hi) have a code of the item's, each no oftener than the item, that ``share`` of the item may stand there.
+
+        An equal word has an equal code, so a region that this refuses ``verify`` would refuse too.
+        """
+        bits, listed, listed_n = self.members()
+        need, out = share * self.sizes()[item], np.zeros(len(lo), bool)
+        n = np.maximum(hi - lo, 0)
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        first = 0
+        while first < len(lo):
+            stop = max(first + 1, int(np.searchsorted(cuts, cuts[first] + REGION_WORDS, "right")) - 1)
+            own, at = slice(first, stop), cuts[first : stop + 1] - cuts[first]
+            key = codes[np.repeat(lo[own] - at[:-1], n[own]) + np.arange(int(at[-1]))] + np.repeat(item[own] * CODES, n[own])
+            found = bits[key >> 3] >> (key & 7).astype(np.uint8) & 1
+            seen = np.concatenate([[0], np.cumsum(found, dtype=np.int64)])
+            many = seen[at[1:]] - seen[at[:-1]] >= need[own]
+            word = np.flatnonzero(found.view(bool) & np.repeat(many, n[own]))
+            region = np.searchsorted(at, word, "right") - 1
+            pair, times = np.unique(region * len(listed) + np.searchsorted(listed, key[word]), return_counts=True)
+            region, place = np.divmod(pair, max(1, len(listed)))
+            out[own] = np.bincount(region, np.minimum(times, listed_n[place]), stop - first) >= need[own]
+            first = stop
+        return out
+
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys in order, item, place in the item, flags by the keys' leading bits) of the items' runs of RUN words."""
         if not hasattr(self, "_runs"):
@@ -327,6 +400,11 @@ class Items:
         return self._runs
 
 
+def code_of(hashes: np.ndarray) -> np.ndarray:
+    """A number below CODES for each word."""
+    return (hashes >> np.uint64(64 - CODES.bit_length() + 1)).astype(np.int64)
+
+
 def run_keys(hashes: np.ndarray, run: int = RUN) -> np.ndarray:
     """A key for each ``run`` consecutive words."""
     n = max(0, len(hashes) - run + 1)
@@ -396,7 +474,7 @@ def _leaks(data, offsets, table: np.ndarray, blocks: list[Items], cosine: float,
     if not len(hashes):
         return found
     first, n = _halves(per_text)
-    sums = _half_sums(table, terms_of(hashes), first)
+    sums = _half_sums(table, terms_of(hashes).astype(np.int64), first)
     text, begin, end = _passages(per_text)
     half = np.searchsorted(first, begin)
     two = end > begin + HALF
@@ -404,7 +482,7 @@ def _leaks(data, offsets, table: np.ndarray, blocks: list[Items], cosine: float,
     x[two] += sums[half[two] + 1]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     starts = np.cumsum(per_text) - per_text
-    text_of, key = np.repeat(np.arange(len(per_text)), per_text), run_keys(hashes)
+    text_of, key, codes = np.repeat(np.arange(len(per_text)), per_text), run_keys(hashes), code_of(hashes)
 
     def look(items: Items, j: int, t: int, lo: int, hi: int, cos: float) -> None:
         lo, hi = max(int(starts[t]), lo), min(int(starts[t] + per_text[t]), hi)
@@ -427,10 +505,15 @@ def _leaks(data, offsets, table: np.ndarray, blocks: list[Items], cosine: float,
         if not items.ids:
             continue
         close = x @ items.vectors.T
-        for p, q in zip(*np.nonzero(close >= cosine), strict=True):
-            j = int(items.item_of[q])
-            first_word = int(begin[p]) - int(items.place[q])
-            look(items, j, int(text[p]), first_word - HALF, max(int(end[p]), first_word + len(items.words[j])) + HALF, float(close[p, q]))
+        passage, piece = np.nonzero(close >= cosine)
+        for i in range(0, len(passage), CANDIDATES):
+            p, q = passage[i : i + CANDIDATES], piece[i : i + CANDIDATES]
+            j, t, first_word = items.item_of[q], text[p], begin[p] - items.place[q]
+            lo = np.maximum(first_word - HALF, starts[t])
+            hi = np.minimum(np.maximum(end[p], first_word + items.sizes()[j]) + HALF, starts[t] + per_text[t])
+            own = np.flatnonzero(items.enough(codes, lo, hi, j, lcs))
+            for at in zip(*(x[own].tolist() for x in (j, t, lo, hi, close[p, q])), strict=True):
+                look(items, *at)
         for at, j, first_word in _run_hits(key, text_of, items):
             size = len(items.words[j])
             own = close[np.searchsorted(begin, at, "right") - 1, slice(*np.searchsorted(items.item_of, [j, j + 1]))]
