@@ -49,6 +49,11 @@ for _b in range(128):
     _c = chr(_b)
     _CLASS[_b] = 5 if _c == " " else 6 if 9 <= _b <= 13 else 4 if _c == "'" else 1 if _c.isalpha() else 2 if _c.isdigit() else 0 if 0x1C <= _b <= 0x1F else 3
 
+# The character that stands for each byte in a byte-level vocabulary, little-endian: printable Latin-1 itself, the others in order from U+0100.
+_ALPHABET = np.arange(256, dtype="<u4")
+_OTHERS = np.r_[0:33, 127:161, 173]
+_ALPHABET[_OTHERS] = 256 + np.arange(len(_OTHERS))
+
 
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
@@ -56,7 +61,9 @@ class PieceEncoder:
     Texts are cut only where the byte-level pre-tokenizer always cuts (between a visible
     character and white space before it or after, and between letters, digits and
     punctuation other than the apostrophe), so the ids of the pieces, put together, are the
-    ids of the text. A text with an added token in it, and any text of a tokenizer of another kind, is encoded whole.
+    ids of the text. A piece that is one pre-token for certain (a blank or none, then letters alone, digits alone or
+    other ASCII alone) goes to the library's model as it is, in the byte-level alphabet; any other piece through the whole library.
+    A text with an added token in it, and any text of a tokenizer of another kind, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,10 +72,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.added = [x["content"].encode() for x in spec.get("added_tokens", [])]
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        whole = self.tokenizer.normalizer or self.tokenizer.truncation or self.tokenizer.padding
+        self.cuts = not whole and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
@@ -86,7 +94,8 @@ class PieceEncoder:
             ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(counts[-1].sum())))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where pieces begin, classes of the bytes)."""
         kind = _CLASS[data]
         for lead, odd in ((0xC3, (0x97, 0xB7)), (0xD0, ()), (0xD1, ())):  # two-byte letters
             at = np.flatnonzero(data[:-1] == lead)
@@ -104,7 +113,25 @@ class PieceEncoder:
         # A blank goes with what follows it; a run of white space is not cut within.
         edges = offsets[:-1][np.diff(offsets) > 0]
         start[edges] = True
-        return np.flatnonzero(start)
+        return np.flatnonzero(start), kind
+
+    def _new(self, data: np.ndarray, raw: bytes, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces [start, end), ids per piece)."""
+        first = starts + ((data[starts] == 0x20) & (ends - starts > 1))
+        turns = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])  # where the class changes, so far
+        single = (kind[first] >= 1) & (kind[first] <= 3) & (turns[first] == turns[ends - 1])
+        text, tokenize = _ALPHABET[data].tobytes().decode("utf-32-le"), self.model.tokenize  # a character for each byte
+        own = np.flatnonzero(single)
+        each: list[list[int]] = [[]] * len(starts)
+        for i, s, e in zip(own.tolist(), starts[own].tolist(), ends[own].tolist(), strict=True):
+            each[i] = [x.id for x in tokenize(text[s:e])]
+        rest = np.flatnonzero(~single)
+        if len(rest):
+            ids, count = self._library([raw[s:e].decode() for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+            for i, x in zip(rest.tolist(), np.split(ids, np.cumsum(count)[:-1]), strict=True):
+                each[i] = x.tolist()
+        count = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(count.sum())), count
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text)."""
@@ -114,7 +141,7 @@ class PieceEncoder:
         raw = data.tobytes()
         if not self.cuts or any(x in raw for x in self.added):
             return self._library([raw[offsets[i] : offsets[i + 1]].decode() for i in range(n)])
-        starts = self._starts(data, offsets)
+        starts, kind = self._starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes = tk.span_hashes(data, starts, ends, lower=False)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -127,7 +154,7 @@ class PieceEncoder:
         new = np.flatnonzero(~found)
         if len(new):
             at = first[new]
-            ids, count = self._library([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            ids, count = self._new(data, raw, kind, starts[at], ends[at])
             begin = len(self.ids) + np.cumsum(count) - count
             self.known = np.insert(self.known, slot[new], distinct[new])
             self.begin = np.insert(self.begin, slot[new], begin)
